@@ -65,7 +65,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
     come to the driver, whatever the input. Without trusted texts every ratio is 0.
     """
     ids = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_trusted")).distinct()
-    told = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left")
+    # labels have no size bound, so they are never broadcast
+    told = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
     grams = bind(words(F.col("text")), lambda w: n_grams(w, buckets))
     each = told.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(grams).alias("bucket"))
     found = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()
