@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, mixing, quality_rules, simhash
+from . import bpe, classifier, html_extract, mixing, quality_rules, simhash
 from .common import table
 
 
@@ -49,6 +49,10 @@ FROM placed
 """
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules.quality_rules(docs, quality_rules.trusted_ids(labels))
@@ -68,7 +72,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op5_simhash, op9_quality_classifier, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_quality_rules, op5_simhash, op9_quality_classifier, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
