@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, classifier, html_extract, mixing, quality_rules, simhash
+from . import ann, bpe, classifier, html_extract, mixing, quality_rules, simhash, suffix_dedup
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.trusted_ids(labels))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), kept=False, digest=True)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -76,7 +80,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_quality_rules, op5_simhash, op7_ivf_pq, op9_quality_classifier, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_quality_rules, op4_suffix_dedup, op5_simhash, op7_ivf_pq, op9_quality_classifier, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
