@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, classifier, html_extract, mixing, quality_rules, simhash, suffix_dedup
+from . import ann, bpe, classifier, html_extract, line_dedup, mixing, quality_rules, simhash, suffix_dedup
 from .common import table
 
 
@@ -71,6 +71,11 @@ def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,7 +85,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_quality_rules, op4_suffix_dedup, op5_simhash, op7_ivf_pq, op9_quality_classifier, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_quality_rules, op4_suffix_dedup, op5_simhash, op7_ivf_pq, op8_line_dedup, op9_quality_classifier, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
