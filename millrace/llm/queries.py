@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, classifier, html_extract, line_dedup, mixing, quality_rules, simhash, suffix_dedup
+from . import ann, bpe, classifier, html_extract, line_dedup, mixing, quality_rules, quotes, simhash, suffix_dedup
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -85,7 +89,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_quality_rules, op4_suffix_dedup, op5_simhash, op7_ivf_pq, op8_line_dedup, op9_quality_classifier, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_quality_rules, op4_suffix_dedup, op5_simhash, op6_quotation_linking, op7_ivf_pq, op8_line_dedup, op9_quality_classifier, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
