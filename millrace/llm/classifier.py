@@ -167,7 +167,7 @@ def fit(rows: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge:
     model = Model(np.zeros(STATISTICS), np.ones(STATISTICS), weights, phases, np.zeros(features + 1), np.empty(0), np.empty(0))
     if not n:
         return model
-    rows = rows.repartition(-(-n // ROWS_A_SUM), F.xxhash64("f"))
+    rows = rows.repartition(-(-n // ROWS_A_SUM))  # by no key, as a third of the texts may be alike
     folds = {r.fold for r in rows.groupBy("fold").count().collect()}
     split = CALIBRATION in folds and len(folds) > 1
     train, other = (rows.where(F.col("fold") != CALIBRATION), rows.where(F.col("fold") == CALIBRATION)) if split else (rows, rows)
