@@ -71,6 +71,51 @@ def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM conversations),
+lines AS (
+  SELECT rid, conv_id, turn, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS pos FROM base),
+marked AS (SELECT *, regexp_extract(line, '^[ \t]*(>[ \t>]*)', 1) AS p FROM lines),
+named AS (
+  SELECT *, len(p) - len(replace(p, '>', '')) AS level,
+         trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(>[ \t>]*)', '')), '\s+', ' ', 'g')) AS name
+  FROM marked),
+own AS (
+  SELECT conv_id, name, min(turn) AS source FROM named
+  WHERE level = 0 AND name <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, name),
+quoted AS (SELECT DISTINCT conv_id, turn, level, name FROM named WHERE level > 0 AND name <> ''),
+votes AS (
+  SELECT q.conv_id, q.turn, q.level, o.source, count(*) AS n FROM quoted q JOIN own o ON q.conv_id = o.conv_id AND q.name = o.name
+  WHERE o.source < q.turn GROUP BY q.conv_id, q.turn, q.level, o.source),
+parents AS (
+  SELECT conv_id, turn, source AS reply_to FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, source DESC) = 1),
+chain AS (
+  SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM parents
+  UNION ALL
+  SELECT c.conv_id, c.turn, p.reply_to, c.depth + 1 FROM chain c JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.thread),
+roots AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM chain GROUP BY conv_id, turn),
+counts AS (SELECT conv_id, turn, count(DISTINCT pos) AS n_quoted FROM named WHERE level > 0 AND name <> '' GROUP BY conv_id, turn),
+followed AS (
+  SELECT *, first_value(CASE WHEN regexp_matches(line, '\S') THEN line END IGNORE NULLS)
+              OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_line
+  FROM named),
+said AS (
+  SELECT rid, string_agg(line, chr(10) ORDER BY pos) AS t FROM followed
+  WHERE level = 0 AND NOT (
+    regexp_matches(line, '(?i)^[ \t]*(on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb\b.{0,80}|le\b.{0,200}a écrit|el\b.{0,200}escribió)[ \t]*:[ \t]*$')
+    AND coalesce(regexp_matches(next_line, '^\s*>'), false))
+  GROUP BY rid)
+SELECT b.conv_id, b.turn, b.role, coalesce(rtrim(regexp_replace(s.t, '^([ \t]*\n)+', ''), ' ' || chr(9) || chr(10)), '') AS text,
+       p.reply_to, coalesce(r.thread, b.turn) AS thread, coalesce(r.depth, 0)::BIGINT AS depth, coalesce(c.n_quoted, 0)::BIGINT AS n_quoted
+FROM base b LEFT JOIN said s USING (rid)
+LEFT JOIN parents p ON p.conv_id = b.conv_id AND p.turn = b.turn
+LEFT JOIN roots r ON r.conv_id = b.conv_id AND r.turn = b.turn
+LEFT JOIN counts c ON c.conv_id = b.conv_id AND c.turn = b.turn
+"""
+
+
 def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -93,4 +138,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op6_quotation_linking": OP6_SQL}

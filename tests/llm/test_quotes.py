@@ -3,7 +3,11 @@
 import random
 import re
 
+import duckdb
+import pandas as pd
+
 from millrace.llm import quotes
+from millrace.llm.queries import OP6_SQL
 
 PREFIX = re.compile(r"^[ \t]*(>[ \t>]*)")
 
@@ -66,6 +70,8 @@ def test_threads(spark):
             assert (r.reply_to, r.thread, r.depth, r.n_quoted) == (reply, thread, depth, n), r
         assert not any(PREFIX.match(x) for x in r.text.split("\n"))
     assert any(r.depth > 1 for r in found)
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
+    assert sorted(map(str, duckdb.sql(OP6_SQL).fetchall())) == sorted(str(tuple(r)) for r in found)
     assert quotes.conversations(messages.limit(0)).count() == 0
 
 
