@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,7 +100,7 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, lock_seconds: float = 10.0, block_bytes: int = cost.BLOCK_BYTES):
         self.spark, self.block_bytes = spark, block_bytes
         self.store = Store(spark, path, lock_seconds)
-        self.attached: dict[str, DataFrame] = {}
+        self.attached: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self._figures: dict[tuple, cost.Statistics] = {}
 
     # -- names -----------------------------------------------------------------------------------------------------------------
@@ -108,8 +109,15 @@ class Engine:
         """Makes a file, a folder or a DataFrame a read-only table of this engine object."""
         name = name.lower()
         self._free(name, self.store.manifest())
-        rows = source if isinstance(source, DataFrame) else external.read(self.spark, source, kind, **options)
-        self.attached[name] = rows.select(*(F.col(f"`{c}`").alias(c.lower()) for c in rows.columns))
+        read = (lambda: source) if isinstance(source, DataFrame) else lambda: external.read(self.spark, source, kind, **options)
+        self.attached[name] = lambda: (rows := read()).select(*(F.col(f"`{c}`").alias(c.lower()) for c in rows.columns))
+
+    def _attached(self, name: str) -> DataFrame:
+        """The rows of an attached source, whose schema is read when it is first used."""
+        found = self.attached[name]
+        if not isinstance(found, DataFrame):
+            found = self.attached[name] = found()
+        return found
 
     def _free(self, name: str, manifest: dict) -> None:
         if name in manifest["tables"] or name in manifest["views"] or name in self.attached or name in CATALOGS:
@@ -119,7 +127,7 @@ class Engine:
         if name in manifest["tables"]:
             return fields_of_table(manifest["tables"][name])
         if name in self.attached:
-            return fields_of(self.attached[name].schema)
+            return fields_of(self._attached(name).schema)
         raise AnalysisError(f'table "{name}" not found')
 
     def table(self, name: str, tx: Transaction | None = None) -> DataFrame:
@@ -128,12 +136,12 @@ class Engine:
             tx.read_any = True
         manifest = tx.manifest if tx else self.store.manifest()
         if name in CATALOGS:
-            attached = {n: fields_of(d.schema) for n, d in self.attached.items()}
+            attached = {n: fields_of(self._attached(n).schema) for n in self.attached}
             return catalog_rows(self.spark, name, manifest, attached)
         if name in manifest["views"]:
             return bind(parse(manifest["views"][name]), lambda n: self.table(n, tx))
         if name in self.attached:
-            return self.attached[name]
+            return self._attached(name)
         if name not in manifest["tables"]:
             raise AnalysisError(f'table "{name}" not found')
         rows = self.store.read(manifest["tables"][name])
@@ -299,7 +307,7 @@ class Engine:
         manifest = tx.manifest if tx else self.store.manifest()
         fields = self._fields(name, manifest)
         pending = len(tx.pending.get(name, ())) if tx else 0
-        key = (name, json.dumps(manifest["tables"].get(name, {}).get("parts")), pending, id(self.attached.get(name)))
+        key = (name, json.dumps(manifest["tables"].get(name, {}).get("parts")), pending, id(self.attached.get(name) and self._attached(name)))
         if key not in self._figures:
             rows = self.table(name, tx)
             found = rows.agg(F.count(F.lit(1)), *(F.countDistinct(F.col(f"`{f.name}`")) for f in fields)).first()

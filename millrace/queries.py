@@ -82,6 +82,17 @@ def engine_over(spark: SparkSession, sf_dir: str) -> Engine:
     return engine
 
 
+_shared: dict[tuple[str, str], Engine] = {}
+
+
+def reader(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over a folder that no query changes, one a session and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _shared:
+        _shared[key] = engine_over(spark, sf_dir)
+    return _shared[key]
+
+
 def copied(engine: Engine, source: str, name: str) -> None:
     """A table of the engine with the rows of another."""
     rows = engine.table(source)
@@ -90,11 +101,11 @@ def copied(engine: Engine, source: str, name: str) -> None:
 
 
 def sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: engine_over(spark, sf_dir).query(text)
+    return lambda spark, sf_dir: reader(spark, sf_dir).query(text)
 
 
 def global_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = engine_over(spark, sf_dir).table("lineitem")
+    rows = reader(spark, sf_dir).table("lineitem")
     return op.group_by(rows, [], [Aggregate("max", "l_partkey"), Aggregate("count", "l_orderkey"), Aggregate("sum", "l_linenumber")])
 
 
@@ -118,7 +129,7 @@ def view_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.materialize(engine_over(spark, sf_dir).query("select o_orderkey, o_orderstatus from orders where o_custkey < 100"))
+    return op.materialize(reader(spark, sf_dir).query("select o_orderkey, o_orderstatus from orders where o_custkey < 100"))
 
 
 def _index(kind: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -132,11 +143,11 @@ def _index(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def index_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.index_select(engine_over(spark, sf_dir).table("orders"), "o_custkey", 42).select("o_orderkey", "o_custkey")
+    return op.index_select(reader(spark, sf_dir).table("orders"), "o_custkey", 42).select("o_orderkey", "o_custkey")
 
 
 def index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = engine_over(spark, sf_dir)
+    engine = reader(spark, sf_dir)
     customer = engine.table("customer").select("c_custkey", "c_name")
     orders = engine.table("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     return op.index_join(orders, customer, "c_custkey")
@@ -178,15 +189,15 @@ def rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine_over(spark, sf_dir).query("select table_name, slot_size from table_catalog")
+    return reader(spark, sf_dir).query("select table_name, slot_size from table_catalog")
 
 
 def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine_over(spark, sf_dir).query("select table_name, field_name, type, length, offset from field_catalog")
+    return reader(spark, sf_dir).query("select table_name, field_name, type, length, offset from field_catalog")
 
 
 def stats_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = engine_over(spark, sf_dir).statistics("nation")
+    found = reader(spark, sf_dir).statistics("nation")
     return spark.createDataFrame([(found.records, found.distinct["n_name"], found.distinct["n_regionkey"])], "records long, names long, regions long")
 
 
