@@ -170,3 +170,10 @@ def test_lines(spark):
 def simhash_of_line(line):
     hashes = [xxhash.xxh64_intdigest(w) for w in dict.fromkeys(line.split(" "))]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_short_lines(spark):
+    texts = ["Share\nRead more\n\na longer line than ten", "share\n \nread  more\nb", None, "Shore\nB\nb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.dedup_lines(docs).collect()}
+    assert found == {0: (texts[0], 0), 1: (" \nb", 2), 2: (None, 0), 3: ("Shore", 2)}
