@@ -177,3 +177,35 @@ def test_short_lines(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.dedup_lines(docs).collect()}
     assert found == {0: (texts[0], 0), 1: (" \nb", 2), 2: (None, 0), 3: ("Shore", 2)}
+
+
+@pytest.mark.parametrize("hot", [4096, 6])
+def test_lines_by_edit_similarity(spark, hot):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghiklmnorstu") for _ in range(rng.randrange(2, 9)))
+    base = [[word() for _ in range(rng.choice([3, 5, 8, 10, 20, 60]))] for _ in range(24)]
+
+    def line():
+        x = list(rng.choice(base))
+        k = rng.randrange(len(x))
+        if rng.random() < 0.8:
+            x[k] = rng.choice([word(), x[k] + "z", x[k][1:] or "q"])
+        return " ".join(x)
+
+    texts = ["\n".join(line() for _ in range(6)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, hot=hot).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        for k, x in enumerate(t.split("\n")):
+            first.setdefault(x, (i, k))
+    names = list(first)
+    able = [len(n) >= 10 for n in names]
+    root = roots(range(len(names)), [(a, b) for b in range(len(names)) for a in range(b) if able[a] and able[b] and line_dedup.alike(names[a], names[b], 0.8)])
+    kept = {}
+    for k, n in enumerate(names):
+        kept[root[k]] = min(kept.get(root[k], first[n]), first[n])
+    assert len(kept) < len(names) / 3
+    at = {n: k for k, n in enumerate(names)}
+    for i, t in enumerate(texts):
+        assert found[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if kept[root[at[x]]] == (i, k))
