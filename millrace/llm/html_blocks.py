@@ -39,8 +39,8 @@ TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
-#: Buckets of hashed path tokens and of hashed words, numbers to a block, words read of a block, path tokens at most.
-PATHS, WORDS, NUMBERS, READ = 1024, 512, 8, 32
+#: Buckets of hashed path tokens and of hashed words, numbers to a block.
+PATHS, WORDS, NUMBERS = 1024, 512, 8
 
 
 @dataclass
@@ -142,8 +142,8 @@ def _word_code(word: str) -> int:
 
 
 def word_codes(block: Block) -> list[int]:
-    """Buckets of the first words of a block, lower-cased; the block is labelled by them, not cut to them."""
-    return [_word_code(w.lower()) for w in block.words[:READ] if len(w) <= 40]
+    """Buckets of all words of a block, lower-cased."""
+    return [(_word_code if len(w) <= 40 else _word_code.__wrapped__)(w.lower()) for w in block.words]
 
 
 def numbers(found: list[Block]) -> np.ndarray:

@@ -2,12 +2,13 @@
 
 import html as std
 import re
+from zlib import crc32
 
 import numpy as np
 
 from millrace.llm import html_labeller as lab
 from millrace.llm import html_train as train
-from millrace.llm.html_blocks import blocks
+from millrace.llm.html_blocks import WORDS, blocks, word_codes
 from millrace.llm.html_extract import extract, main_texts
 
 
@@ -74,3 +75,11 @@ def test_pages(spark):
     assert found[:4] == [(1, expected), (1, expected), (2, ""), (3, "")] and found[5] == (None, expected)
     assert extract(pages.limit(0)).count() == 0
     assert main_texts([page] * 300 + [None]) == [expected] * 300 + [""]
+
+
+def test_all_words_are_read():
+    block = blocks("<p>" + "same " * 40 + "other " + "x" * 50)[0]
+    assert word_codes(block) == [crc32(w.encode()) % WORDS for w in block.words]
+    ends = [blocks("<p>" + "same " * 40 + end)[0] for end in ("cookies", "meadow", "x" * 50)]
+    seen = {lab.vectors(lab.trained(), lab.Input([[b]])).tobytes() for b in ends}
+    assert len(seen) == 3
