@@ -125,12 +125,12 @@ def neighbours(
     Rows of equal vectors are one node of the index, which keeps the ``k + 1`` smallest of their ids: no other can be in a
     result. The index is fitted on at most ``SAMPLE`` different vectors, in an order of hashes, and holds all. Lists grow as the root of the number of vectors
     until the sample bounds them; a list of over ``LIST_ROWS`` vectors is split, each part searched by a task of its own. A query reads
-    its best lists, as many as hold ``recall`` of the neighbours on the sample; products by table choose candidates, and these
+    its best lists, as many as hold ``recall`` of the neighbours on the sample, and more until they hold ``k + 1`` vectors; products by table choose candidates, and these
     are reranked by the original vectors, which lie with the codes, so that only ``k + 1`` rows a list leave a task.
 
     Vectors that are null, zero, hold null or non-finite components, or are of another length than most, take no part, nor do rows with
     a null id; a repeated id counts once for each of its vectors; an empty table gives no rows; fewer than ``k``
-    other rows are all returned, if the lists read hold them.
+    other rows are all returned.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -164,19 +164,22 @@ def neighbours(
     kind = nodes.schema["v"].dataType.simpleString()
     indexed = checkpoint(nodes.select("node", "low", "v").mapInArrow(encode, f"list int, node long, low long, v {kind}, codes binary"))
     sizes = {r.list: r["count"] for r in indexed.groupBy("list").count().collect()}
-    parts = np.array([-(-sizes.get(j, 0) // LIST_ROWS) for j in range(lists)])
+    held = np.array([sizes.get(j, 0) for j in range(lists)])
+    parts = -(-held // LIST_ROWS)
     split = F.element_at(F.array(*(F.lit(int(max(1, p))) for p in parts)), F.col("list") + 1)
     indexed = indexed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), split).cast("int"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each part of each list that a query reads."""
+        """A row for each part of each list that a query reads: its first ``probes``, and on until they hold ``k + 1`` vectors."""
         for whole in batches:
             for low in range(0, whole.num_rows, 4096):
                 batch = whole.slice(low, 4096)
-                chosen = shared.value.probes(_matrix(batch.column("v"), dims), probes)
-                row = np.repeat(np.arange(batch.num_rows), chosen.shape[1])
-                each = parts[chosen.ravel()]
-                row, read = np.repeat(row, each), np.repeat(chosen.ravel(), each)
+                ordered = shared.value.probes(_matrix(batch.column("v"), dims), lists)
+                before = np.cumsum(held[ordered], axis=1) - held[ordered]
+                row, place = np.nonzero((np.arange(ordered.shape[1]) < probes) | (before < k + 1))
+                chosen = ordered[row, place]
+                each = parts[chosen]
+                row, read = np.repeat(row, each), np.repeat(chosen, each)
                 part = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
                 columns = [pa.array(read.astype(np.int32)), pa.array(part.astype(np.int32)), batch.column("node").take(pa.array(row)), batch.column("v").take(pa.array(row))]
                 yield pa.RecordBatch.from_arrays(columns, names=["list", "part", "node", "v"])

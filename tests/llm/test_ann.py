@@ -58,3 +58,11 @@ def test_recall(spark):
 def test_small(spark, rows):
     found = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.neighbours(frame(spark, rows), F.col("vec_id") % 20 == 0).collect()]
     assert found == ([(0, 1, 1, 16.0)] if len(rows) == 2 else [])
+
+
+def test_outlier_gets_all_its_rows(spark):
+    rng = np.random.default_rng(5)
+    like = np.array([10.0] + [0.0] * 15) + rng.normal(size=(66, 16)) * 0.1
+    rows = [(i + 1, x.tolist()) for i, x in enumerate(like)] + [(0, [0.0] * 15 + [10.0])]
+    found = ann.neighbours(frame(spark, rows), F.col("vec_id") == 0).collect()
+    assert sorted(r.rank for r in found) == list(range(1, 21))
