@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,28 +22,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder where that is unset and the master is local, else an error."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is made only where that is unset
-    (a local run).
-    """
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files that nothing refers to any more, rather than when the driver's heap happens to be full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in the folder that all executors share; what made it is released."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(spark))
+    out = df.checkpoint(eager=True)
+    release(spark)
+    return out
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to a new folder below ``spark.checkpoint.dir`` (a temporary one where that is unset), and read again."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
-    path = f"{base}/{uuid.uuid4().hex}"
+    """``df`` written as Parquet to a new folder below ``shared_folder``, and read again. ``discard`` deletes it."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``written`` gave, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often ``body`` uses it.
 

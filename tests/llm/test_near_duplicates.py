@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from millrace.llm import bits, line_dedup, similar, simhash
+from millrace.llm import bits, edits, line_dedup, similar, simhash
 from millrace.llm.components import connected_components
 
 
@@ -108,17 +109,8 @@ def test_similar_documents(spark, tile):
     assert similar.keep_one(docs.limit(0)).count() == 0
 
 
-def test_edit_distance():
-    import duckdb
-
-    rng = random.Random(4)
-    text = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(14)))
-    for _ in range(150):
-        a = text()
-        b = a[: rng.randrange(len(a) + 1)] + text() if rng.random() < 0.5 else text()
-        true = duckdb.execute("select levenshtein(?, ?)", [a, b]).fetchone()[0] if a.isascii() and b.isascii() else slow_distance(a, b)
-        for most in (0, 2, 40):
-            assert line_dedup.edit_distance(a, b, most) == min(true, most + 1)
+def true_distance(con, a, b):
+    return con.execute("select levenshtein(?, ?)", [a, b]).fetchall()[0][0] if a.isascii() and b.isascii() else slow_distance(a, b)
 
 
 def slow_distance(a, b):
@@ -130,82 +122,139 @@ def slow_distance(a, b):
     return row[-1]
 
 
-def test_lines(spark):
-    rng = random.Random(5)
-    words = [f"w{i}" for i in range(300)]
-    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(2, 90))) for _ in range(25)]
+def test_edit_distance():
+    import duckdb
 
-    def line():
-        x = rng.choice(base)
-        if rng.random() < 0.5:
-            k = rng.randrange(len(x))
-            x = x[:k] + rng.choice("zq") + x[k + 1 :]
-        return rng.choice([x, x.upper(), f"  {x}", "", "short", "a | b | c | d | " + x])
-
-    texts = ["\n".join(line() for _ in range(rng.randrange(1, 12))) for _ in range(60)] + [None, "", "\n\n", base[0]]
-    docs = spark.createDataFrame([(i, t, "en", 7) for i, t in enumerate(texts)], "doc_id long, text string, key string, n_lines int")
-    found = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(14)))
+    with duckdb.connect() as con:
+        for _ in range(150):
+            a = text()
+            b = a[: rng.randrange(len(a) + 1)] + text() if rng.random() < 0.5 else text()
+            for most in (0, 2, 40):
+                assert edits.edit_distance(a, b, most) == min(true_distance(con, a, b), most + 1)
+
+
+def changed(rng, x, letters):
+    x = list(x)
+    for _ in range(rng.randrange(len(x) // 3 + 2)):
+        k = rng.randrange(len(x) + 1)
+        x[k : k + rng.randrange(2)] = rng.choice(["", rng.choice(letters), rng.choice(letters) + " "])
+    return "".join(x)
+
+
+@pytest.mark.parametrize("letters", ["ab ", "abcdefgh é", "".join(chr(0x4E00 + k) for k in range(900))])
+def test_alike_pairs(letters, monkeypatch):
+    rng = random.Random(len(letters))
+    left = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 4, 9, 10, 30, 64, 65, 130, 300]))) for _ in range(250)]
+    right = [changed(rng, x, letters) if rng.random() < 0.8 else rng.choice(left) for x in left]
+    expected = [max(len(a), len(b)) * 0.2 + 1e-9 >= slow_distance(a, b) for a, b in zip(left, right, strict=True)]
+    assert 0 < sum(expected) < len(left)
+    assert edits.alike_pairs(left, right, 0.8).tolist() == expected
+    assert [edits.alike(a, b, 0.8) for a, b in zip(left, right, strict=True)] == expected
+    monkeypatch.setattr(edits, "LONG", 50)
+    monkeypatch.setattr(edits, "WORDS", 7)
+    assert edits.alike_pairs(left, right, 0.8).tolist() == expected
+    assert edits.alike_pairs([], [], 0.8).tolist() == []
+
+
+def kept_lines(rows):
+    """The text that is left of each (id, text), by the edit similarity of all pairs of lines alone."""
     first = {}
-    for i, t in enumerate(texts):
+    for at, (i, t) in enumerate(rows):
         for k, x in enumerate((t or "").split("\n")):
-            if len(n := line_dedup.normalised(x)) >= 10:
-                first.setdefault(n, (i, k))
-    names = list(first)
-    prints = [simhash_of_line(n) for n in names]
-    linked = [(a, b) for b in range(len(names)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 3 and line_dedup.alike(names[a], names[b], 0.8)]
-    assert linked
-    root = roots(range(len(names)), linked)
-    kept = {}
+            if n := line_dedup.normalised(x):
+                place = (i is None, i or 0, k, at)
+                first[n] = min(first.get(n, place), place)
+    names = sorted(first, key=len)
+    letters = {c: k for k, c in enumerate(sorted(set("".join(names))))}
+    counts = np.zeros((len(names), len(letters)), np.int64)
+    for k, x in enumerate(names):
+        np.add.at(counts[k], [letters[c] for c in x], 1)
+    linked = []
+    for b in range(len(names)):  # each letter that one has and the other lacks is an edit
+        lacks = np.maximum(counts[b] - counts[:b], 0).sum(axis=1)
+        linked += [(a, b) for a in np.flatnonzero(lacks <= 0.2 * len(names[b]) + 1e-9).tolist() if edits.alike(names[a], names[b], 0.8)]
+    root, kept = roots(range(len(names)), linked), {}
     for k, n in enumerate(names):
         kept[root[k]] = min(kept.get(root[k], first[n]), first[n])
-    at = {n: k for k, n in enumerate(names)}
-    for i, t in enumerate(texts):
-        lines = (t or "").split("\n")
-        left = [x for k, x in enumerate(lines) if len(n := line_dedup.normalised(x)) < 10 or kept[root[at[n]]] == (i, k)]
-        assert found[i].text == (None if t is None else "\n".join(left))
-        assert found[i].n_removed_lines == (0 if t is None else len(lines) - len(left))
-    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
-
+    number = {n: k for k, n in enumerate(names)}
 
-def simhash_of_line(line):
-    hashes = [xxhash.xxh64_intdigest(w) for w in dict.fromkeys(line.split(" "))]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    def left(at, i, t):
+        lines = t.split("\n")
+        stay = [x for k, x in enumerate(lines) if not (n := line_dedup.normalised(x)) or kept[root[number[n]]] == (i is None, i or 0, k, at)]
+        return "\n".join(stay), len(lines) - len(stay)
 
-
-def test_short_lines(spark):
-    texts = ["Share\nRead more\n\na longer line than ten", "share\n \nread  more\nb", None, "Shore\nB\nb"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.dedup_lines(docs).collect()}
-    assert found == {0: (texts[0], 0), 1: (" \nb", 2), 2: (None, 0), 3: ("Shore", 2)}
+    return [(None, 0) if t is None else left(at, i, t) for at, (i, t) in enumerate(rows)], len(linked)
 
 
 @pytest.mark.parametrize("hot", [4096, 6])
-def test_lines_by_edit_similarity(spark, hot):
-    rng = random.Random(6)
+def test_lines(spark, hot):
+    rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghiklmnorstu") for _ in range(rng.randrange(2, 9)))
-    base = [[word() for _ in range(rng.choice([3, 5, 8, 10, 20, 60]))] for _ in range(24)]
+    base = [[word() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 10, 20, 60]))] for _ in range(40)]
 
     def line():
         x = list(rng.choice(base))
         k = rng.randrange(len(x))
         if rng.random() < 0.8:
             x[k] = rng.choice([word(), x[k] + "z", x[k][1:] or "q"])
-        return " ".join(x)
+        x = " ".join(x)
+        return rng.choice([x, x, x.upper(), f"  {x}", "", "Share", "Shore", x + "."])
+
+    rows = [(None if i > 40 else i, "\n".join(line() for _ in range(7))) for i in range(45)] + [(50, None), (51, ""), (52, "\n \n"), (3, "b\n" + line()), (53, "B")]
+    docs = spark.createDataFrame([(i, t, "en", 7) for i, t in rows], "doc_id long, text string, key string, n_lines int")
+    told = line_dedup.dedup_lines(docs, hot=hot)
+    assert told.columns == ["doc_id", "text", "key", "n_lines", "n_removed_lines"]
+    found = told.collect()
+    # null ids are told apart by a hash of their texts, so the order among them is not told here: they are sorted as the operator sorts them
+    hashes = {r.text: r.t for r in line_dedup.located(docs).collect()}
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes.get(r[1], 0)))
+    expected, linked = kept_lines(rows)
+    assert linked > 50
+    assert sorted(map(str, ((r.doc_id, r.text, r.n_removed_lines) for r in found))) == sorted(map(str, ((i, *x) for (i, _), x in zip(rows, expected, strict=True))))
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
-    texts = ["\n".join(line() for _ in range(6)) for _ in range(30)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, hot=hot).collect()}
-    first = {}
-    for i, t in enumerate(texts):
-        for k, x in enumerate(t.split("\n")):
-            first.setdefault(x, (i, k))
-    names = list(first)
-    able = [len(n) >= 10 for n in names]
-    root = roots(range(len(names)), [(a, b) for b in range(len(names)) for a in range(b) if able[a] and able[b] and line_dedup.alike(names[a], names[b], 0.8)])
-    kept = {}
-    for k, n in enumerate(names):
-        kept[root[k]] = min(kept.get(root[k], first[n]), first[n])
-    assert len(kept) < len(names) / 3
-    at = {n: k for k, n in enumerate(names)}
-    for i, t in enumerate(texts):
-        assert found[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if kept[root[at[x]]] == (i, k))
+
+def test_lines_of_documents(spark):
+    """The pairs that brute force finds on a table's lines, all of them, meet."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    expected, linked = kept_lines(sorted(rows))
+    found = dict(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect())
+    assert linked >= 44
+    assert [found[i] for i, _ in sorted(rows)] == [x for x, _ in expected]
+
+
+def test_repeated_rows_are_cut_alike(spark):
+    rows = [(1, "a line that is there twice\nx"), (1, "a line that is there twice\nx"), (None, "y\nx"), (None, "y\nx"), (2, "a line that is there twice")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text, r.n_removed_lines) for r in found) == [("1", rows[0][1], 0), ("1", rows[0][1], 0), ("2", "", 1), ("None", "y", 1), ("None", "y", 1)]
+
+
+def test_features_of_long_lines(monkeypatch):
+    rng = random.Random(9)
+    line = " ".join(str(rng.random()) for _ in range(400))
+    whole = line_dedup.features([line, "short one", line], 6, 4, 5)
+    monkeypatch.setattr(line_dedup, "PIECE", 300)
+    parts = line_dedup.features([line, "short one", line], 6, 4, 5)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    hashes = line_dedup.n_grams([line], 5)[0].tolist()
+    assert len(set(hashes)) == len({f"<{line}>"[k : k + 5] for k in range(len(line) - 2)})
+    assert int(whole[1][0]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("size", [3, 50, 4096])
+def test_shared_keys(size):
+    rng = np.random.default_rng(size)
+    keys = np.sort(np.concatenate([rng.integers(0, 300, 200), np.full(40, 77), np.full(9, 500)]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + 17])], names=["key"]) for k in range(0, len(keys), 17)]
+    few, many = [], []
+    for rows, starts in line_dedup.shared_keys(iter(batches), 20, size):
+        own = rows.column("key").to_pylist()
+        if starts is None:
+            many += own
+        else:
+            assert sorted(np.flatnonzero(np.append(True, np.diff(own) != 0)).tolist()) == starts.tolist()
+            few += own
+    n = dict(zip(*np.unique(keys, return_counts=True), strict=True))
+    assert few == [k for k in keys if 1 < n[k] <= 20] and many == [k for k in keys if n[k] > 20]
