@@ -81,6 +81,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def words(text: Column) -> Column:
-    """The words of a text, as an array; none for null."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}|{SPACE}$", "")
+    """The words of a text, as an array; none for null. (``\\z``, as ``$`` also stands before a last U+0085, U+2028 or U+2029, which are no white space here.)"""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}|{SPACE}\\z", "")
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))

@@ -11,8 +11,8 @@ from .common import bind, words
 
 #: Words to a window, when looking for repeats within a text.
 WINDOW = 8
-#: Of words and of their last three characters, half and half.
-BUCKETS = 1 << 14
+#: Of single words and of two words in a row, half and half.
+BUCKETS = 1 << 16
 #: Weight of the raw corpus as a prior of the target, in n-grams: buckets that the target lacks tell little.
 PRIOR = 65_536.0
 #: Mean log ratio a text needs.
@@ -50,11 +50,11 @@ def repeat_words(hashes: Column, n: Column) -> Column:
 
 
 def n_grams(found: Column, buckets: int) -> Column:
-    """The buckets of the words of an array (the lower half) and of the last three characters of each (the upper half)."""
+    """The buckets of the words of an array (the lower half) and of each word with the next, the last with none (the upper half)."""
     half = F.lit(buckets // 2)
     ones = F.transform(found, lambda w: F.pmod(F.xxhash64(w), half).cast("int"))
-    ends = F.transform(found, lambda w: (F.pmod(F.xxhash64(F.substring(w, -3, 3)), half) + half).cast("int"))
-    return F.concat(ones, ends)
+    twos = F.transform(found, lambda w, i: (F.pmod(F.xxhash64(w, F.get(found, i + 1)), half) + half).cast("int"))
+    return F.concat(ones, twos)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
