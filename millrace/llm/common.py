@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A run of ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Stands for a null id, behind all others.
+LAST = (1 << 63) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +44,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the folder that all executors share; what made it is released."""
+def checkpoint(df: DataFrame, large: bool = True) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in the folder that all executors share; if it is ``large``, what made it is released."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint(eager=True)
-    release(spark)
+    if large:
+        release(spark)
     return out
 
 
@@ -76,6 +79,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def places_of(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """(d, t): what tells a row apart: its id, ``LAST`` for none, and a hash of its text, as ids may be null or repeated."""
+    return F.coalesce(doc_id.cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("t")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

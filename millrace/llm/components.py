@@ -8,37 +8,33 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of ``links`` (a, b), two columns of one orderable type; root: the smallest node reachable.
+def connected_components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(node, root) for each node of ``links`` (a, b), two columns of longs; root: the smallest node reachable.
 
-    Alternates large-star and small-star steps, each a minimum per node (combined before the shuffle) and a
-    join, until every link joins a node with its root. The table of links never grows, nothing but one count and one
-    checksum a round reaches the driver, and the lineage is cut by a reliable checkpoint each round. Nulls and
+    Each round draws a new order of the nodes by hashes, lets every node go to the first of itself and its neighbours (a minimum,
+    combined before the shuffle), and keeps the links between those that are left; so links shrink by a share in every round whatever the graph, small
+    components are done after the first, and nothing but whether links are left reaches the driver. The lineage is cut by reliable checkpoints. Nulls and
     links of a node with itself count for nothing; no links give no rows.
     """
-    edges = checkpoint(
-        links.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    before = None
-    for _ in range(max_rounds):
+    edges = checkpoint(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    steps = []
+    while not edges.isEmpty():
+        if len(steps) == max_rounds:
+            raise RuntimeError("the components have not settled")
+        place = lambda c, k=len(steps): F.xxhash64(c, F.lit(k))
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(least, "u")
-        edges = checkpoint(
-            small.where(F.col("v") != F.col("low"))
-            .select(F.col("v").alias("u"), F.col("low").alias("v"))
-            .union(least.select("u", F.col("low").alias("v")))
-            .distinct()
-        )
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = now
-    raise RuntimeError("the components have not settled")
+        near = both.groupBy("u").agg(F.min(place("v")).alias("h"), F.min_by("v", place("v")).alias("v"))
+        step = near.select(F.col("u").alias("node"), F.when(place("u") <= F.col("h"), F.col("u")).otherwise(F.col("v")).alias("to"))
+        steps.append(step := checkpoint(step, False))
+        left = edges.join(step.select(F.col("node").alias("u"), F.col("to").alias("x")), "u").join(step.select(F.col("node").alias("v"), F.col("to").alias("y")), "v")
+        left = left.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+        edges = checkpoint(left.distinct())
+    if not steps:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    ends = steps.pop()
+    while steps:  # from the last round to the first, each table of which holds all nodes that the later ones hold
+        later = ends.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        ends = steps.pop().join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    ends = checkpoint(ends)
+    lows = checkpoint(ends.groupBy("to").agg(F.min("node").alias("root")), False)
+    return ends.join(lows, "to").select("node", "root")

@@ -90,8 +90,8 @@ def test_simhash(spark, hot, monkeypatch):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("tile", [1024, 4])
-def test_similar_documents(spark, tile):
+@pytest.mark.parametrize("hot", [4096, 4])
+def test_similar_documents(spark, hot):
     texts = corpus(3)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "a b c d e f", "y")], "doc_id long, text string, name string")
     sets = {i: set(similar.shingle_set(t, 5).tolist()) for i, t in enumerate(texts)}
@@ -101,7 +101,7 @@ def test_similar_documents(spark, tile):
         return shared >= 0.8 * whole - 1e-9
 
     expected = roots(sets, [(a, b) for a in sets for b in sets if a < b and alike(a, b)])
-    found = {r.doc_id: r.component_id for r in similar.similar_documents(docs, tile=tile).collect()}
+    found = {r.doc_id: r.component_id for r in similar.similar_documents(docs, hot=hot).collect()}
     assert found == expected
     kept = similar.keep_one(docs)
     assert kept.columns == docs.columns
@@ -109,6 +109,13 @@ def test_similar_documents(spark, tile):
     assert similar.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_row(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (None, text, "c"), (None, text + " more", "d"), (None, "x y z", "e"), (None, "x y z", "e"), (3, "p q", "f"), (3, "r s", "g"), (4, "r s", "h"), (5, None, "i"), (6, "", "j")]
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(1, text), (None, "x y z"), (3, "p q"), (3, "r s"), (5, None)]))
+
+
 def true_distance(con, a, b):
     return con.execute("select levenshtein(?, ?)", [a, b]).fetchall()[0][0] if a.isascii() and b.isascii() else slow_distance(a, b)
 
@@ -144,18 +151,13 @@ def changed(rng, x, letters):
 
 
 @pytest.mark.parametrize("letters", ["ab ", "abcdefgh é", "".join(chr(0x4E00 + k) for k in range(900))])
-def test_alike_pairs(letters, monkeypatch):
+def test_alike(letters):
     rng = random.Random(len(letters))
     left = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 4, 9, 10, 30, 64, 65, 130, 300]))) for _ in range(250)]
     right = [changed(rng, x, letters) if rng.random() < 0.8 else rng.choice(left) for x in left]
     expected = [max(len(a), len(b)) * 0.2 + 1e-9 >= slow_distance(a, b) for a, b in zip(left, right, strict=True)]
     assert 0 < sum(expected) < len(left)
-    assert edits.alike_pairs(left, right, 0.8).tolist() == expected
     assert [edits.alike(a, b, 0.8) for a, b in zip(left, right, strict=True)] == expected
-    monkeypatch.setattr(edits, "LONG", 50)
-    monkeypatch.setattr(edits, "WORDS", 7)
-    assert edits.alike_pairs(left, right, 0.8).tolist() == expected
-    assert edits.alike_pairs([], [], 0.8).tolist() == []
 
 
 def kept_lines(rows):
