@@ -51,6 +51,7 @@ def checkpoint(df: DataFrame, large: bool = True) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint(eager=True)
+    del df  # the caller's argument, if it is kept nowhere else
     if large:
         release(spark)
     return out

@@ -248,9 +248,11 @@ def test_features_of_long_lines(monkeypatch):
     monkeypatch.setattr(line_dedup, "PIECE", 300)
     parts = line_dedup.features([line, "short one", line], 6, 4, 5)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
-    hashes = line_dedup.n_grams([f"<{line}>".replace("<", "\x02").replace(">", "\x03")], 5)[0].tolist()
-    assert len(set(hashes)) == len({f"<{line}>"[k : k + 5] for k in range(len(line) - 2)})
-    assert int(whole[1][0]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    marked = f"<{line}>".replace("<", "\x02").replace(">", "\x03")
+    (hashes, starts), (larger, _) = line_dedup.n_grams([marked, marked], 5, 6)
+    assert len(set(hashes.tolist())) == len({marked[k : k + 5] for k in range(len(marked) - 4)}) and starts.tolist() == [0, len(marked) - 4]
+    assert (larger == line_dedup.n_grams([marked, marked], 6)[0][0]).all() and len(larger) == 2 * (len(marked) - 5)
+    assert len(whole[1]) == 3 and whole[1][0] == whole[1][2] != whole[1][1]
 
 
 @pytest.mark.parametrize("size", [3, 50, 4096])
