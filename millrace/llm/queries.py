@@ -17,7 +17,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, md5(concat_ws(':', '42', doc_id::VARCHAR)) AS key,
+  SELECT doc_id, source, md5(concat_ws(':', '42', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))) AS key,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
   FROM documents),
 sources AS (
@@ -81,22 +81,28 @@ named AS (
   SELECT *, len(p) - len(replace(p, '>', '')) AS level,
          trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(>[ \t>]*)', '')), '\s+', ' ', 'g')) AS name
   FROM marked),
-own AS (
-  SELECT conv_id, name, min(turn) AS source FROM named
-  WHERE level = 0 AND name <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, name),
-quoted AS (SELECT DISTINCT conv_id, turn, level, name FROM named WHERE level > 0 AND name <> ''),
-votes AS (
-  SELECT q.conv_id, q.turn, q.level, o.source, count(*) AS n FROM quoted q JOIN own o ON q.conv_id = o.conv_id AND q.name = o.name
-  WHERE o.source < q.turn GROUP BY q.conv_id, q.turn, q.level, o.source),
+breaks AS (
+  SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER w OR lag(name) OVER w = '' THEN 1 ELSE 0 END AS is_new
+  FROM named WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+runs AS (SELECT *, sum(is_new) OVER (PARTITION BY rid ORDER BY pos) AS run FROM breaks),
+units AS (
+  SELECT DISTINCT conv_id, turn, level, 0 AS kind, name FROM named WHERE name <> ''
+  UNION
+  SELECT conv_id, turn, level, 1, string_agg(name, ' ' ORDER BY pos) FROM runs WHERE name <> '' GROUP BY rid, conv_id, turn, level, run),
+latest AS (
+  SELECT q.conv_id, q.turn, q.level, q.kind, q.name, max(o.turn) AS source
+  FROM units q JOIN units o ON q.conv_id = o.conv_id AND q.kind = o.kind AND q.name = o.name AND o.turn < q.turn
+  WHERE q.level > 0 AND o.level = 0 GROUP BY ALL),
+votes AS (SELECT conv_id, turn, level, kind, source, count(*) AS n FROM latest GROUP BY ALL),
 parents AS (
   SELECT conv_id, turn, source AS reply_to FROM votes
-  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, source DESC) = 1),
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, kind DESC, n DESC, source DESC) = 1),
 chain AS (
   SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM parents
   UNION ALL
   SELECT c.conv_id, c.turn, p.reply_to, c.depth + 1 FROM chain c JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.thread),
 roots AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM chain GROUP BY conv_id, turn),
-counts AS (SELECT conv_id, turn, count(DISTINCT pos) AS n_quoted FROM named WHERE level > 0 AND name <> '' GROUP BY conv_id, turn),
+counts AS (SELECT rid, count(*) AS n_quoted FROM named WHERE level > 0 AND name <> '' GROUP BY rid),
 followed AS (
   SELECT *, first_value(CASE WHEN regexp_matches(line, '\S') THEN line END IGNORE NULLS)
               OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_line
@@ -108,11 +114,13 @@ said AS (
     AND coalesce(regexp_matches(next_line, '^\s*>'), false))
   GROUP BY rid)
 SELECT b.conv_id, b.turn, b.role, coalesce(rtrim(regexp_replace(s.t, '^([ \t]*\n)+', ''), ' ' || chr(9) || chr(10)), '') AS text,
-       p.reply_to, coalesce(r.thread, b.turn) AS thread, coalesce(r.depth, 0)::BIGINT AS depth, coalesce(c.n_quoted, 0)::BIGINT AS n_quoted
-FROM base b LEFT JOIN said s USING (rid)
+       p.reply_to, coalesce(r.thread, b.turn) AS thread, coalesce(r.depth, 0)::BIGINT AS depth,
+       CASE WHEN b.conv_id IS NULL OR b.turn IS NULL THEN 0
+            ELSE dense_rank() OVER (PARTITION BY b.conv_id, coalesce(r.thread, b.turn) ORDER BY b.turn) - 1 END::BIGINT AS position,
+       coalesce(c.n_quoted, 0)::BIGINT AS n_quoted
+FROM base b LEFT JOIN said s USING (rid) LEFT JOIN counts c USING (rid)
 LEFT JOIN parents p ON p.conv_id = b.conv_id AND p.turn = b.turn
 LEFT JOIN roots r ON r.conv_id = b.conv_id AND r.turn = b.turn
-LEFT JOIN counts c ON c.conv_id = b.conv_id AND c.turn = b.turn
 """
 
 

@@ -15,9 +15,11 @@ def docs(spark, rows):
 
 
 def duck(rows):
-    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])  # noqa: F841
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])
     documents["doc_id"] = documents["doc_id"].astype("Int64")
-    return sorted(map(str, duckdb.sql(OP1_SQL).fetchall()))
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        return sorted(map(str, con.execute(OP1_SQL).fetchall()))
 
 
 def mine(found):
@@ -29,13 +31,16 @@ CASES = {
     "nulls, blanks, repeats": [(1, None, None), (2, "", "a"), (3, " \t\n", "é"), (4, "x y", None), (4, "x y", None), (5, "w " * 50, "b"), (6, "q", "")],
     "hot": [(i, "a b", "big") for i in range(300)] + [(1000 + i, "a " * 9, f"t{i}") for i in range(6)],
     "long": [(0, "w " * 20000, "a"), *((i, "w " * 3, "b") for i in range(1, 40)), (99, "w", "c")],
+    "null ids": [(None, "a " * (i % 5 + 1) + f"t{i % 60}", "s") for i in range(90)] + [(7, "q " * 40, "t")],
     "no words": [(1, "", "a"), (2, None, "b")],
     "one": [(1, "a b c", "a")],
 }
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
 @pytest.mark.parametrize("name", CASES)
-def test_same_as_sql(spark, name):
+def test_same_as_sql(spark, name, few, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     rows = CASES[name]
     assert mine(mixing.mix(docs(spark, rows), bucket_words=40)) == duck(rows)
 
@@ -59,3 +64,17 @@ def test_repeat_and_empty(spark):
     assert out.columns == ["doc_id", "text", "source", "size"]
     assert out.count() == sum(taken.values())
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.repeat(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_repeat_takes_each_row_for_itself(spark, name):
+    rows = CASES[name]
+    taken = mixing.mix(docs(spark, rows), bucket_words=40).groupBy("source").sum("taken").collect()
+    out = mixing.repeat(docs(spark, rows), bucket_words=40)
+    found = {r.source: sum(len((x.text or "").split()) for x in out.collect() if x.source == r.source) for r in taken}
+    assert found == {r.source: r[1] for r in taken}
+
+
+def test_no_python_in_the_plan(spark):
+    plans = [f(docs(spark, CASES["plain"]))._jdf.queryExecution().executedPlan().toString() for f in (mixing.mix, mixing.repeat)]
+    assert not any(x in p for p in plans for x in ("Python", "Arrow", "Pandas"))
