@@ -13,12 +13,13 @@ import numpy as np
 #: Elements that are part of the line they stand in; any other begins and ends a block. Fixed values.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr object canvas "
+    "math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mfenced mstyle mspace semantics".split()
 )
 #: Elements without content. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no markup and never text of the page. Fixed values.
-RAW = "script style textarea iframe noembed noframes xmp template svg math select canvas object"
+#: Elements whose content is no markup and, but for that of xmp, never text of the page. Fixed values.
+RAW = "script style textarea iframe noembed noframes xmp template svg select annotation"
 #: What an opening element closes, if it is open and no element after the bar stands between. Fixed values.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -30,10 +31,12 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 
-_QUOTED = r"""(?:[^>"']|"[^"]{0,20000}"|'[^']{0,20000}')*+"""
+#: What stands between a tag's name and its end. A quote counts where it begins a value and is closed; at most one of each kind is not, so that each
+#: character is read a bounded number of times, however long values are.
+_REST = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b{_QUOTED}(?:(?<=/)>|>.*?(?:</(?P=raw)\b[^>]*(?:>|\Z)|\Z))"
-    rf"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>{_QUOTED}>|[^>]*(?:>|\Z))|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b{_REST}(?:(?<=/)>|>(?P<inside>.*?)(?:</(?P=raw)\b[^>]*+(?:>|\Z)|\Z)|\Z)"
+    rf"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{_REST}(?:>|\Z))|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -92,6 +95,10 @@ def blocks(page: str | None) -> list[Block]:
             linked += (m.start() - at) * (links > 0)
         at = m.end()
         name = (m["name"] or "").lower()
+        if (m["raw"] or "").lower() == "xmp":
+            flush()
+            parts.append(html.escape(m["inside"] or ""))
+            flush()
         if not name:
             continue
         if name == "br":

@@ -28,6 +28,26 @@ def test_blocks():
     assert len(blocks("<div>" * 3000 + "deep" + "</div>" * 3000)) == 1
 
 
+def test_long_and_odd_attributes():
+    for n in (20_000, 20_001, 1_000_000):
+        long = "x>" * (n // 2)
+        assert texts(f'<script data-x="{long}">var secret=1;</script><p>a') == ["a"]
+        assert texts(f"<p>a<img src='data:{long}' alt=\"{long}\">b") == ["a", "b"]
+        assert texts(f'<p title = "{long}" class=x>a</p><div data-y={long.replace(">", "y")}>b') == ["a", "b"]
+        assert texts(f"<p>a<svg><path d='{long}'/><text>no</text></svg>b") == ["ab"]
+    assert texts('<p title="never closed>a</p><p>b') == ["a", "b"]
+    assert texts("<p class=don't>it's a</p><p title='x>y'>b") == ["it's a", "b"]
+    assert texts('<a href="x" title="1 > 0">a</a> 2 > 1') == ["a 2 > 1"]
+    assert texts('<p a="1"b=\'>\'c>x') == ["x"]
+    many = '<a b="' * 100_001  # each closes the one before; the last is open
+    assert texts(many + "<p>x") == ["x"] and texts("<p>y</p>" + "<a b='\"" * 50_000 + ">z") == ["y", "z"]
+
+
+def test_text_of_embedded_elements():
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</p>") == ["Let x=2 be."]
+    assert texts("<p>a</p><xmp><b>&amp; b</xmp><p><object data=u>c</object><canvas>d</canvas>") == ["a", "<b>&amp; b", "cd"]
+
+
 def test_gradient():
     maker, rng = train.Maker(3), np.random.default_rng(0)
     pages = [p for p in (train.labelled(maker.page()) for _ in range(4)) if p[0]]
