@@ -10,6 +10,7 @@ TEXTS = [
     None, "", " \n\t ", "one", "a b c d e f g h", "a b c d e f g h " * 3, "x " * 2000, "l1 w\nl1 w\n\n \nl2\nl1 w", "#*$%&|<> #a\x0b$b\rc", "é ü ß 漢字 \U0001f600 x",
     "the quick brown fox jumps over the lazy dog and runs away from the bear in the wood today for a long while now " * 1, " ".join(f"w{i}" for i in range(300)),
     " ".join(f"w{i % 9}" for i in range(100)), " ".join(f"w{i}" for i in range(40)) + " " + " ".join(f"w{i}" for i in range(12)), "BUY!! NOW!! " * 3 + " ".join(f"W{i}!!" for i in range(30)),
+    "hello \u2028", "a b \u0085", " a\u2029 b \u2029\n", "x \u2028\n\n", "\u0085", "\u00a0 a",
 ]
 
 
@@ -26,17 +27,20 @@ def base(text):
     return (*out, out[0] < 20 or 100 * out[4] > 30 * out[0])
 
 
-def xxh(parts):
+def xxh(*parts):
+    """Spark's xxhash64: the hash of each part is the seed of the next."""
     import xxhash
 
-    found = xxhash.xxh64_intdigest(parts.encode(), 42)
+    found = 42
+    for x in parts:
+        found = xxhash.xxh64_intdigest(x.encode(), found)
     return found - (1 << 64) if found >> 63 else found
 
 
 def grams(text, buckets):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     half = buckets // 2
-    return [xxh(w) % half for w in words] + [half + xxh(w[-3:]) % half for w in words]
+    return [xxh(w) % half for w in words] + [half + xxh(*words[i : i + 2]) % half for i in range(len(words))]
 
 
 def frames(spark, texts=TEXTS):
