@@ -16,7 +16,7 @@ BUCKETS = 1 << 16
 #: Weight of the raw corpus as a prior of the target, in n-grams: buckets that the target lacks tell little.
 PRIOR = 65_536.0
 #: Mean log ratio a text needs.
-THRESHOLD = -0.4
+THRESHOLD = -0.2
 
 _BLANK = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
