@@ -70,7 +70,7 @@ class Transaction:
         try:
             if self.token is not None:
                 self.flush()
-                self.store.commit(self.manifest)
+                self.store.commit(self.manifest, self.token)
         finally:
             self._end()
 
@@ -79,7 +79,7 @@ class Transaction:
             raise TransactionError("no active transaction")
         try:
             if self.token is not None:
-                self.store.recover()
+                self.store.drop_parts(self.manifest)
         finally:
             self._end()
 
@@ -97,9 +97,9 @@ class Engine:
     CREATE). Without a transaction each statement is one of its own.
     """
 
-    def __init__(self, spark: SparkSession, path: str, lock_seconds: float = 10.0, block_bytes: int = cost.BLOCK_BYTES):
+    def __init__(self, spark: SparkSession, path: str, lock_seconds: float = 10.0, block_bytes: int = cost.BLOCK_BYTES, lease_seconds: float = 5.0):
         self.spark, self.block_bytes = spark, block_bytes
-        self.store = Store(spark, path, lock_seconds)
+        self.store = Store(spark, path, lock_seconds, lease_seconds)
         self.attached: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self._figures: dict[tuple, cost.Statistics] = {}
 
@@ -393,13 +393,21 @@ class Engine:
     # -- upkeep ----------------------------------------------------------------------------------------------------------------
 
     def recover(self) -> list[str]:
-        """Deletes what writers that died have left; waits for a live one first."""
+        """Deletes what writers that died have left; waits for a live one first, takes the lock over from a dead one."""
         token = self.store.lock()
         try:
             return self.store.recover()
         finally:
             self.store.unlock(token)
 
+    def vacuum(self, older_than: float = 7 * 86_400.0) -> list[str]:
+        """Deletes the parts that were replaced ``older_than`` seconds ago or before; rows read from states that old are lost."""
+        token = self.store.lock()
+        try:
+            return self.store.vacuum(older_than, token)
+        finally:
+            self.store.unlock(token)
+
     def compact(self, name: str, partitions: int | None = None) -> None:
         """Rewrites a table as one part, as many small inserts make it slow to read."""
         with self._own(None) as tx:

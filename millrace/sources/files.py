@@ -43,7 +43,7 @@ class Files:
             stream.close()
 
     def replace(self, name: str, text: str) -> None:
-        """The file is the old or the new one at any moment."""
+        """The file is the old or the new one at any moment on HDFS; on a local file system there is none for a moment."""
         self._write(f"{name}.new", text, True)
         rename = getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename")
         how = self.jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
@@ -62,6 +62,13 @@ class Files:
             raise
         return True
 
+    def time(self, name: str) -> int:
+        """When a file was last changed or touched, in milliseconds."""
+        return self.fs.getFileStatus(self.path(name)).getModificationTime()
+
+    def touch(self, name: str) -> None:
+        self.fs.setTimes(self.path(name), self.jvm.java.lang.System.currentTimeMillis(), -1)
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 

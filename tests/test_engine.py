@@ -171,6 +171,47 @@ def test_recovery_removes_what_no_manifest_names(staff):
     assert rows(staff, "select sum(salary) from employees") == [(295001,)]
 
 
+def test_a_dead_writer_does_not_block(staff, spark):
+    tx = staff.begin()
+    staff.execute("update employees set salary = 0", tx)
+    staff.store._renewing.pop(tx.token).set()  # the writer dies here: its lock file stays
+    assert staff.store.files.exists("writer.lock")
+    root = staff.store.files.root.toString()
+    with pytest.raises(LockTimeout):
+        Engine(spark, root, lock_seconds=0.3, lease_seconds=5).execute("delete from employees")
+    other = Engine(spark, root, lease_seconds=0.5)
+    assert len(other.recover()) == 1
+    assert other.execute("update employees set salary = 1 where id = 1") == 1
+    with pytest.raises(TransactionError):
+        tx.commit()  # it was only slow, and comes back
+    assert sorted(rows(other, "select salary from employees"))[0] == (1,) and not staff.store.files.exists("writer.lock")
+
+
+def test_a_live_writer_keeps_its_lock(staff, spark):
+    root = staff.store.files.root.toString()
+    slow = Engine(spark, root, lease_seconds=1)
+    tx = slow.begin()
+    slow.execute("delete from employees where id = 1", tx)
+    with pytest.raises(LockTimeout):
+        Engine(spark, root, lock_seconds=3, lease_seconds=1).execute("delete from employees")
+    tx.commit()
+    assert len(rows(staff, "select id from employees")) == 3
+
+
+def test_readers_keep_their_state(staff):
+    before = staff.table("employees")
+    staff.compact("employees")
+    staff.execute("delete from employees where id = 1")
+    tx = staff.begin()
+    staff.execute("delete from employees", tx)
+    tx.rollback()
+    assert staff.recover() == [] and before.count() == 4 and staff.table("employees").count() == 3
+    assert staff.vacuum() == [] and before.count() == 4
+    gone = staff.vacuum(older_than=0)
+    assert gone and staff.vacuum(older_than=0) == [] and staff.table("employees").count() == 3
+    assert not any(staff.store.files.exists(p) for p in gone)
+
+
 def test_catalog_statistics_and_cost(staff):
     staff.execute("create index by_dept on employees (dept)")
     assert rows(staff, "select table_name, slot_size from table_catalog") == [("employees", 112)]
