@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -45,14 +46,15 @@ def release(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame, large: bool = True) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the folder that all executors share; if it is ``large``, what made it is released."""
+    """``df`` cut from its lineage by a reliable checkpoint in the folder that all executors share; if it is ``large``, the shuffles that made it are
+    released, unless the caller keeps ``df`` itself."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint(eager=True)
-    del df  # the caller's argument, if it is kept nowhere else
-    if large:
+    if large and sys.getrefcount(df) <= 2:
+        context._gateway.detach(df._jdf)  # at once; Python's own finalisers wait for up to a second
         release(spark)
     return out
 
