@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from functools import lru_cache
@@ -41,8 +42,10 @@ def _local_folder() -> str:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files that nothing refers to any more, rather than when the driver's heap happens to be full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for wait in (0.2, 0):  # the listeners of the last job hold it a moment longer
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def checkpoint(df: DataFrame, large: bool = True) -> DataFrame:
