@@ -302,7 +302,7 @@ class Engine:
         return {x["field"]: i for i, x in self.store.manifest()["indexes"].items() if x["table"] == table.lower()}
 
     def statistics(self, name: str, tx: Transaction | None = None) -> cost.Statistics:
-        """Exact records, blocks and distinct values of a table, by one pass; kept until the table changes."""
+        """Exact records, blocks and distinct values of a table; kept until the table changes."""
         name = name.lower()
         manifest = tx.manifest if tx else self.store.manifest()
         fields = self._fields(name, manifest)
@@ -310,9 +310,10 @@ class Engine:
         key = (name, json.dumps(manifest["tables"].get(name, {}).get("parts")), pending, id(self.attached.get(name) and self._attached(name)))
         if key not in self._figures:
             rows = self.table(name, tx)
-            found = rows.agg(F.count(F.lit(1)), *(F.countDistinct(F.col(f"`{f.name}`")) for f in fields)).first()
-            distinct = {f.name: found[k + 1] for k, f in enumerate(fields)}
-            self._figures[key] = cost.Statistics.of(found[0], layout(fields)[1], distinct, self.block_bytes)
+            column = lambda f: F.col(f"`{f.name}`")
+            # a job a column, which reads that column alone; all at once would make a row for each row and column
+            distinct = {f.name: rows.select(column(f)).where(column(f).isNotNull()).distinct().count() for f in fields}
+            self._figures[key] = cost.Statistics.of(rows.count(), layout(fields)[1], distinct, self.block_bytes)
         return self._figures[key]
 
     def refresh_statistics(self) -> None:
@@ -354,13 +355,15 @@ class Engine:
         ``hash``: a folder a bucket of the field's hash, so that a lookup reads one; ``btree``: sorted by ranges of the field, so that a lookup reads the
         row groups whose minimum and maximum enclose it. A layout never changes results; one of an older version is not read.
         """
-        found, rows = self._index(index), None
-        parts = json.dumps([kind, buckets, self.store.manifest()["tables"].get(found["table"], {}).get("parts")])
-        folder = f"{INDEXES}/{index.lower()}-{uuid.uuid5(uuid.NAMESPACE_OID, parts).hex}"
+        found = self._index(index)
         rows = self.table(found["table"])
+        version = self._version(found["table"], rows)
+        parts = json.dumps([kind, buckets, version])
+        folder = f"{INDEXES}/{index.lower()}-{kind}/{uuid.uuid5(uuid.NAMESPACE_OID, parts).hex}"
         field = F.col(f"`{found['field']}`")
-        if found["table"] in self.attached or not self.store.files.exists(f"{folder}/_SUCCESS"):
-            self.store.files.delete(folder)
+        if version is None or not self.store.files.exists(f"{folder}/_SUCCESS"):
+            for old in self.store.files.listed(f"{INDEXES}/{index.lower()}-{kind}"):  # older versions, and this one if it was not finished
+                self.store.files.delete(f"{INDEXES}/{index.lower()}-{kind}/{old}")
             if kind == "hash":
                 bucket = F.pmod(F.xxhash64(field), F.lit(buckets)).cast("int")
                 laid = rows.withColumn("_bucket", bucket).repartition("_bucket", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(8)))
@@ -369,6 +372,12 @@ class Engine:
                 rows.repartitionByRange(field).sortWithinPartitions(field).write.parquet(self.store.files.url(folder))
         return self.spark.read.parquet(self.store.files.url(folder))
 
+    def _version(self, table: str, rows: DataFrame) -> list | None:
+        """What tells one version of a table from another: its parts, or the names, sizes and times of the files attached; None if there is nothing."""
+        if table in self.attached:
+            return self.store.files.states(rows.inputFiles()) or None
+        return self.store.manifest()["tables"].get(table, {}).get("parts")
+
     def index_lookup(self, index: str, value, kind: str = "hash", buckets: int = cost.HASH_BUCKETS) -> DataFrame:
         """The rows of an index's table whose field equals ``value``."""
         found = self._index(index)

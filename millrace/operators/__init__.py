@@ -7,10 +7,11 @@ from .relational import (
     index_select,
     materialize,
     move_to,
+    positions,
     project,
     row_ids,
     select,
     sort,
 )
 
-__all__ = ["cross_join", "group_by", "index_join", "index_select", "materialize", "move_to", "project", "row_ids", "select", "sort"]
+__all__ = ["cross_join", "group_by", "index_join", "index_select", "materialize", "move_to", "positions", "project", "row_ids", "select", "sort"]

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..functions import aggregates as agg
 from ..functions.comparisons import comparison, condition
 from ..plans.syntax import Aggregate, Constant, Name, Order, Predicate, Term
+from ..sources.files import shared_folder
 
 #: Bytes up to which a side is broadcast by ``index_join``; its size is Spark's own, of the files it reads.
 BROADCAST_BYTES = 64 << 20
@@ -86,10 +86,23 @@ def materialize(df: DataFrame) -> DataFrame:
     """The rows, computed now and kept in the checkpoint folder that all executors share; later reads do not compute them again."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="materialized-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def positions(df: DataFrame, name: str = "position") -> DataFrame:
+    """The rows with their places, from 0, in the order that the frame has; as a sort is by ranges, no task puts all rows in order.
+
+    Rows are numbered in their partitions, and the sizes of the partitions before, one row each, are added.
+    """
+    at = F.monotonically_increasing_id()
+    told = materialize(df.withColumn("_at", at)).withColumn("_part", F.shiftright("_at", 33))
+    sizes = told.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return told.join(before, "_part").withColumn(name, place).select(*df.columns, name)
+
+
 def row_ids(df: DataFrame) -> DataFrame:
     """The rows of a scan of files with ``_rid``: the file and the place in it, stable as long as the version is."""
     return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_rid"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +10,9 @@ from pyspark.sql import functions as F
 
 from . import operators as op
 from .engine import Engine
+from .plans.parser import parse
 from .plans.syntax import Aggregate
+from .sources.files import shared_folder
 from .types import fields_of
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -69,9 +70,8 @@ SQL: dict[str, tuple[str, str | None]] = {
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: in ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def engine_over(spark: SparkSession, sf_dir: str) -> Engine:
@@ -196,6 +196,58 @@ def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader(spark, sf_dir).query("select table_name, field_name, type, length, offset from field_catalog")
 
 
+def ordered(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of the dialect with ORDER BY, and the place of each row in its order."""
+    return lambda spark, sf_dir: op.positions(reader(spark, sf_dir).query(SQL[name][0]))
+
+
+def typed(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine with a table of all types that the dialect declares, a view and an index."""
+    engine = engine_over(spark, sf_dir)
+    engine.execute("create table flags (id int, name varchar(12), ok bool, day date)")
+    for row in ("1, 'one', true, 2025-01-01", "2, 'two', false, 2025-01-02", "3, 'three', true, 2025-01-03", "4, '', false, 2025-01-03"):
+        engine.execute(f"insert into flags (id, name, ok, day) values ({row})")
+    engine.execute("create view good as select id, name from flags where ok = true")
+    engine.execute("create index by_day on flags (day)")
+    return engine
+
+
+def typed_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: typed(spark, sf_dir).query(text)
+
+
+def index_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups by an index on files that are attached; the second one reads the layout that the first has made."""
+    engine = engine_over(spark, sf_dir)
+    engine.execute("create index by_customer on orders (o_custkey)")
+    return engine.index_lookup("by_customer", 42).select("o_orderkey").union(engine.index_lookup("by_customer", 43).select("o_orderkey"))
+
+
+def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a scan reads again by their saved ids."""
+    rows = op.row_ids(reader(spark, sf_dir).table("region"))
+    held = rows.where("r_regionkey >= 3").collect()
+    found = [op.move_to(rows, r["_rid"]).select("r_regionkey", "r_name") for r in held]
+    return found[0].union(found[1])
+
+
+def cost_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that an equality, a join by fields and a product are estimated to give."""
+    engine = reader(spark, sf_dir)
+    texts = ("select n_name from nation where n_regionkey = 1", "select n_name from nation, region where n_regionkey = r_regionkey", "select n_name from nation, region")
+    return spark.createDataFrame([tuple(engine.explain_cost(t)["records"] for t in texts)], "equality long, joined long, product long")
+
+
+def sub_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of a predicate that each table can tell, applied before the product, and the rest after it."""
+    engine = reader(spark, sf_dir)
+    where = parse("select n_name from nation, region where n_regionkey = r_regionkey and n_nationkey < 10 and r_name = 'ASIA'").where
+    left, right = engine.table("nation"), engine.table("region")
+    names, others = set(left.columns), set(right.columns)
+    product = op.cross_join(op.select(left, where.sub_predicate(names)), op.select(right, where.sub_predicate(others)))
+    return op.select(product, where.join_predicate(names, others)).select("n_nationkey", "n_name", "r_name")
+
+
 def stats_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reader(spark, sf_dir).statistics("nation")
     return spark.createDataFrame([(found.records, found.distinct["n_name"], found.distinct["n_regionkey"])], "records long, names long, regions long")
@@ -216,6 +268,19 @@ API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "dml_update": (dml_update, "select n_nationkey, case when n_regionkey >= 3 and n_nationkey < 20 then 'FAR' else n_name end as n_name, case when n_regionkey = 0 then n_nationkey else n_regionkey end as n_regionkey from nation"),
     "dml_delete": (dml_delete, "select n_nationkey, n_name from nation where n_regionkey <> 2"),
     "tx_rollback_commit": (rollback, "select r_regionkey, case when r_regionkey = 4 then 'X' else r_name end as r_name from region"),
+    "order_asc_position": (ordered("order_asc"), "select n_name, n_regionkey, row_number() over (order by n_name) - 1 as position from nation where n_regionkey >= 2"),
+    "order_desc_position": (ordered("order_desc"), "select p_partkey, p_size, row_number() over (order by p_size desc, p_partkey) - 1 as position from part"),
+    "order_by_agg_position": (ordered("order_by_agg"), 'select c_nationkey, count(*) as "countOfc_custkey", row_number() over (order by count(*) desc, c_nationkey) - 1 as position from customer group by c_nationkey'),
+    "create_table_bool": (typed_query("select id, name, day from flags where ok = true"), "select * from (values (1::int, 'one', TIMESTAMP '2025-01-01'), (3, 'three', TIMESTAMP '2025-01-03')) t(id, name, day)"),
+    "create_table_date": (typed_query("select id, ok from flags where day >= 2025-01-02 and name <> ''"), "select * from (values (2::int, false), (3, true)) t(id, ok)"),
+    "catalog_typed_fields": (typed_query("select field_name, type, length from field_catalog where table_name = 'flags'"), "select * from (values ('id', 'int', 0::int), ('name', 'varchar', 12), ('ok', 'bool', 0), ('day', 'date', 0)) t(field_name, type, length)"),
+    "catalog_typed_tables": (typed_query("select table_name from table_catalog where table_name >= 'e' and table_name < 'm'"), "select * from (values ('events'), ('flags'), ('lineitem')) t(table_name)"),
+    "catalog_views": (typed_query("select view_name, view_definition from view_catalog"), "select 'good' as view_name, 'select id, name from flags where ok = true' as view_definition"),
+    "catalog_indexes": (typed_query("select index_name, table_name, field_name from index_catalog"), "select 'by_day' as index_name, 'flags' as table_name, 'day' as field_name"),
+    "index_attached": (index_attached, "select o_orderkey from orders where o_custkey in (42, 43)"),
+    "positioned_read": (positioned, "select r_regionkey, r_name from region where r_regionkey >= 3"),
+    "cost_estimates": (cost_estimates, "select (select count(*) // count(distinct n_regionkey) from nation) as equality, (select count(*) from nation) as joined, (select count(*) from nation, region) as product"),
+    "sub_predicates": (sub_predicates, "select n_nationkey, n_name, r_name from nation, region where n_regionkey = r_regionkey and n_nationkey < 10 and r_name = 'ASIA'"),
     "catalog_tables": (catalog_tables, None),
     "catalog_fields": (catalog_fields, None),
     "stats_distinct": (stats_distinct, "select count(*) as records, count(distinct n_name) as names, count(distinct n_regionkey) as regions from nation"),

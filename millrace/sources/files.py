@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset: a temporary one if all run in one process, else an error."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _temporary()
+
+
+@lru_cache(maxsize=1)
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="millrace-")
+
+
 class Files:
     """The file system of one folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.conf = conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.root = self.jvm.org.apache.hadoop.fs.Path(root)
         self.fs = self.root.getFileSystem(conf)
         self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
@@ -66,6 +84,15 @@ class Files:
         """When a file was last changed or touched, in milliseconds."""
         return self.fs.getFileStatus(self.path(name)).getModificationTime()
 
+    def states(self, urls: list[str]) -> list[tuple[str, int, int]]:
+        """(name, size, time) of files of any file system."""
+        out = []
+        for url in sorted(urls):
+            path = self.jvm.org.apache.hadoop.fs.Path(self.jvm.java.net.URI(url))
+            status = path.getFileSystem(self.conf).getFileStatus(path)
+            out.append((url, status.getLen(), status.getModificationTime()))
+        return out
+
     def touch(self, name: str) -> None:
         self.fs.setTimes(self.path(name), self.jvm.java.lang.System.currentTimeMillis(), -1)
 
