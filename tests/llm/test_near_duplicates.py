@@ -235,6 +235,16 @@ def test_lines_of_documents(spark):
     assert sum(found[i].n_removed_lines - exact[i] for i, _ in rows) >= 0.95 * fuzzy
 
 
+@pytest.mark.parametrize("words", [1 << 20, 4])
+def test_bloom_filter(spark, words):
+    rng = np.random.default_rng(3)
+    ids, others = rng.integers(-(1 << 63), (1 << 63) - 1, (2, 3000))
+    bloom = line_dedup.bloom_filter(spark.createDataFrame([(int(x),) for x in ids], "id long"), words)
+    assert len(bloom) == min(words, 1024) and line_dedup.may_hold(bloom, ids).all()
+    assert line_dedup.may_hold(bloom, others).mean() < 0.1 or words == 4
+    assert not line_dedup.may_hold(line_dedup.bloom_filter(spark.createDataFrame([], "id long")), ids).any()
+
+
 def test_repeated_rows_are_cut_alike(spark):
     rows = [(1, "a line that is there twice\nx"), (1, "a line that is there twice\nx"), (None, "y\nx"), (None, "y\nx"), (2, "a line that is there twice")]
     found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
