@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Vectors that the index is fitted on at most (every vector is indexed), and vectors of the sample to a centroid at least.
-SAMPLE, SAMPLE_A_LIST = 16_384, 32
+#: Numbers in the sample that the index is fitted on, at most (every vector is indexed), and vectors of the sample to a centroid at least.
+SAMPLE_NUMBERS, SAMPLE_A_LIST = 1 << 23, 32
+#: Lists beyond which they are fitted in two levels, and vectors of the sample that codebooks and recall are fitted on at most.
+FLAT, CODED = 512, 1 << 14
 #: Subspaces of the quantiser, and its codes to a subspace at most.
 SUBSPACES, CODES = 16, 256
 #: Share of the neighbours that lie in the lists a query reads, as measured on the sample, and the sample's queries for that.
@@ -22,6 +24,8 @@ RECALL, TRIALS = 0.97, 256
 RERANK = 3
 #: Vectors of a list that are searched by one task at once; longer lists are split.
 LIST_ROWS = 8192
+#: Queries that read a list at once, about; those of a list that more read are dealt out, each share with a copy of the list's parts.
+QUERY_ROWS = 1 << 15
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -44,6 +48,19 @@ def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def two_levels(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """About ``k`` centres of ``x``: of root ``k`` groups, and within each as many as its share of the vectors; work grows with the root of ``k``."""
+    if k <= FLAT:
+        return k_means(x, k, seed)
+    groups = k_means(x, round(k**0.5), seed)
+    own = _nearest(x, groups)
+    out = []
+    for g in range(len(groups)):
+        if len(part := x[own == g]):
+            out.append(k_means(part, min(len(part), max(1, round(k * len(part) / len(x)))), seed + 1 + g))
+    return np.concatenate(out)
+
+
 @dataclass
 class Index:
     """Coarse centroids, and the quantiser's codebook for each subspace."""
@@ -54,7 +71,8 @@ class Index:
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, seed: int) -> Index:
-        centres = k_means(sample, lists, seed)
+        centres = two_levels(sample, lists, seed)
+        sample = sample[:CODED]
         rest = sample - centres[_nearest(sample, centres)]
         edges = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         books = [k_means(rest[:, a:b], min(CODES, len(rest)), seed + 1 + k, 8) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
@@ -76,6 +94,7 @@ class Index:
         Vectors in clusters need few; those without structure need most, whatever the lists. A corpus larger than
         the sample has nearer neighbours, which lie in fewer.
         """
+        sample = sample[:CODED]
         chosen = np.random.default_rng(seed).permutation(len(sample))[:TRIALS]
         q = sample[chosen]
         products = q @ sample.T
@@ -123,8 +142,9 @@ def neighbours(
     another vec_id with the largest inner products found, in double precision; ties to smaller ids.
 
     Rows of equal vectors are one node of the index, which keeps the ``k + 1`` smallest of their ids: no other can be in a
-    result. The index is fitted on at most ``SAMPLE`` different vectors, in an order of hashes, and holds all. Lists grow as the root of the number of vectors
-    until the sample bounds them; a list of over ``LIST_ROWS`` vectors is split, each part searched by a task of its own. A query reads
+    result. The index is fitted on at most ``SAMPLE_NUMBERS`` numbers of different vectors (or ``CODED`` vectors), in an order of hashes, and holds all. Lists grow as the root of the number of vectors
+    until the sample bounds them, many in two levels; a list of over ``LIST_ROWS`` vectors is split, each part searched by a task of its own, and so are the
+    queries of a list that over ``QUERY_ROWS`` read. A query reads
     its best lists, as many as hold ``recall`` of the neighbours on the sample, and more until they hold ``k + 1`` vectors; products by table choose candidates, and these
     are reranked by the original vectors, which lie with the codes, so that only ``k + 1`` rows a list leave a task.
 
@@ -147,10 +167,12 @@ def neighbours(
     # a vec_id with several vectors is the lowest of several nodes; the hash tells them apart
     nodes = checkpoint(nodes.select(F.xxhash64("low", "v").alias("node"), "v", "low", "ids"))
     n = nodes.count()
-    lists = max(1, min(1 << max(0, round(np.log2(n) / 2 - 1)), min(n, SAMPLE) // SAMPLE_A_LIST))
-    sample = nodes.orderBy(F.xxhash64("v", F.lit(seed))).limit(SAMPLE).select("v").collect()
-    sample = np.array([r.v for r in sample], np.float64)
+    most = max(CODED, SAMPLE_NUMBERS // dims)
+    lists = max(1, min(1 << max(0, round(np.log2(n) / 2 - 1)), min(n, most) // SAMPLE_A_LIST))
+    most = min(most, max(CODED, 2 * SAMPLE_A_LIST * lists))
+    sample = _matrix(nodes.orderBy(F.xxhash64("v", F.lit(seed))).limit(most).select("v").toArrow().column("v"), dims)
     index = Index.fit(sample, lists, seed)
+    lists = len(index.centres)
     probes = index.probes_for(sample, k, recall, seed)
     shared = spark.sparkContext.broadcast(index)
 
@@ -187,7 +209,11 @@ def neighbours(
     asking = told.where("asks").select("v", F.col("vec_id").alias("query_id")).distinct()
     asking = checkpoint(asking.join(nodes.select("node", "v"), "v").select("query_id", "node"))
     queries = asking.select("node").distinct().join(nodes, "node").select("node", "v")
-    dealt = queries.mapInArrow(deal, f"list int, part int, node long, v {kind}")
+    dealt = checkpoint(queries.mapInArrow(deal, f"list int, part int, node long, v {kind}"))
+    readers = {r.list: r["count"] for r in dealt.where("part = 0").groupBy("list").count().collect()}
+    shares = F.element_at(F.array(*(F.lit(max(1, -(-readers.get(j, 0) // QUERY_ROWS))) for j in range(lists))), F.col("list") + 1)
+    dealt = dealt.withColumn("share", F.pmod(F.xxhash64("node", F.lit(seed + 1)), shares).cast("int"))
+    copies = indexed.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         x = _matrix(right.column("v"), dims)
@@ -205,7 +231,7 @@ def neighbours(
         each = min(k + 1, len(x))
         return pa.table({"q": np.repeat(names, each), "node": nodes_here[near], "low": lows[near], "score": np.concatenate(scores)})
 
-    pairs = dealt.groupBy("list", "part").cogroup(indexed.groupBy("list", "part")).applyInArrow(search, "q long, node long, low long, score double")
+    pairs = dealt.groupBy("list", "part", "share").cogroup(copies.groupBy("list", "part", "share")).applyInArrow(search, "q long, node long, low long, score double")
     # a node after k + 1 others by score and lowest id has no id among the first k + 1
     best = Window.partitionBy("q").orderBy(F.desc("score"), "low")
     pairs = pairs.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)

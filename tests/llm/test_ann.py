@@ -22,7 +22,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double")
 
 
-def test_exact_where_all_lists_are_read(spark):
+@pytest.mark.parametrize("split", [False, True])
+def test_exact_where_all_lists_are_read(spark, split, monkeypatch):
+    if split:  # many lists in two levels, lists and their queries split
+        for name, value in (("FLAT", 2), ("SAMPLE_A_LIST", 4), ("LIST_ROWS", 10), ("QUERY_ROWS", 3)):
+            monkeypatch.setattr(ann, name, value)
     rng = np.random.default_rng(0)
     rows = [(i, rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(150)]
     rows += [(1000 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0]) for i in range(120)]  # one vector that is very common
@@ -36,7 +40,9 @@ def test_exact_where_all_lists_are_read(spark):
         assert [found[q][k + 1] for k in range(len(near))] == near, q
 
 
-def test_recall(spark):
+@pytest.mark.parametrize("flat", [512, 4])
+def test_recall(spark, flat, monkeypatch):
+    monkeypatch.setattr(ann, "FLAT", flat)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 24))
     v = centres[rng.integers(0, 30, 3000)] + 0.5 * rng.normal(size=(3000, 24))
