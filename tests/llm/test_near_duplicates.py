@@ -280,3 +280,41 @@ def test_shared_keys(size):
             few += own
     n = dict(zip(*np.unique(keys, return_counts=True), strict=True))
     assert few == [k for k in keys if 1 < n[k] <= 20] and many == [k for k in keys if n[k] > 20]
+
+
+def test_near_rows_are_bounded():
+    """Long runs of near rows: pairs come in blocks, whatever their number, and the blocks hold all of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    prints = np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 64, 6000, dtype=np.uint64))
+    starts = np.array([0, 2000, 4000, 5990, 5999])
+    tracemalloc.start()
+    n = [sum(len(i) for i, _ in meeting.near_in_runs(prints, starts, 24)), int(meeting.near_others(prints, starts, 24).sum())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == [2 * (2000 * 1999 // 2) + 1990 * 1989 // 2 + 9 * 8 // 2, 5999] and peak < 64 << 20
+    small = rng.integers(0, 1 << 64, 150, dtype=np.uint64) & np.uint64(0xFFFFFFFF)
+    starts = np.array([0, 1, 4, 40, 75])
+    run = np.searchsorted(starts, np.arange(150), side="right")
+    expected = {(i, j) for i in range(150) for j in range(i) if run[i] == run[j] and (small[i] ^ small[j]).bit_count() <= 14}
+    found = [(i, j) for a, b in meeting.near_in_runs(small, starts, 14, 50) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(found) == len(expected) > 20 and set(found) == expected
+    assert np.flatnonzero(meeting.near_others(small, starts, 14)).tolist() == sorted({x for pair in expected for x in pair})
+
+
+@pytest.mark.parametrize("letters", ["ab ", "abcdefgh é", "".join(chr(0x4E00 + k) for k in range(900))])
+def test_alike_many(letters):
+    rng = random.Random(len(letters))
+    left = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 4, 9, 10, 30, 64, 65, 130, 300]))) for _ in range(400)]
+    pairs = [(x, changed(rng, x, letters) if rng.random() < 0.8 else rng.choice(left)) for x in left]
+    assert edits.alike_many(pairs, 0.8).tolist() == [edits.alike(a, b, 0.8) for a, b in pairs]
+
+
+def test_shared_before():
+    rng = np.random.default_rng(1)
+    here = np.sort(rng.integers(-9, 9, 90))
+    keys = [[*rng.integers(-9, 9, rng.integers(0, 5)).tolist(), k] for k in here.tolist()]
+    bits_of = meeting.shared_before(keys, here, np.flatnonzero(np.append(True, here[1:] != here[:-1])))
+    pairs = [(x, y) for x in range(90) for y in range(x) if here[x] == here[y]]
+    assert all((min(set(keys[x]) & set(keys[y])) == here[x]) == (not (bits_of[x] & bits_of[y]).any()) for x, y in pairs)
