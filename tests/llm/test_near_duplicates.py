@@ -318,3 +318,64 @@ def test_shared_before():
     bits_of = meeting.shared_before(keys, here, np.flatnonzero(np.append(True, here[1:] != here[:-1])))
     pairs = [(x, y) for x in range(90) for y in range(x) if here[x] == here[y]]
     assert all((min(set(keys[x]) & set(keys[y])) == here[x]) == (not (bits_of[x] & bits_of[y]).any()) for x, y in pairs)
+
+
+@pytest.mark.parametrize("few", [1, 24])
+@pytest.mark.parametrize("length", [0, 12, 130, 400, 1300, 3000])
+def test_lines_alike(length, few, monkeypatch):
+    """Bands against whole distances: few and many letters, edits near the limit, blocks that moved, lines of every number of words."""
+    monkeypatch.setattr(edits, "BAND_FEW", few)
+    rng = random.Random(length)
+    for letters in ("ab", "abcdefgh ", "aä\U0001f600\ud800 z"):
+        lines = []
+        for _ in range(6):
+            line = "".join(rng.choice(letters) for _ in range(rng.randint(length // 2, length)))
+            lines.append(line)
+            for share in (0.15, 0.2, 0.22):
+                near, n = list(line), int(share * len(line))
+                for _ in range(n // 2):
+                    near[rng.randrange(len(near))] = rng.choice(letters)
+                at, to = rng.randrange(len(near) + 1), rng.randrange(len(near) + 1)
+                near[to:to] = near[at : at + n // 4]
+                lines.append("".join(near))
+        i, j = np.triu_indices(len(lines), 1)
+        i, j = i[:: 1 + length // 400], j[:: 1 + length // 400]
+        found = edits.Lines(lines)
+        expected = [edits.alike(lines[x], lines[y], 0.8) for x, y in zip(i, j, strict=True)]
+        assert found.alike(i, j, 0.8).tolist() == expected
+        assert found.alike(i, j, 0.8, np.ones(len(i), bool)).tolist() == expected
+        assert (found.sizes_allow(i, j, 0.8) | ~np.array(expected)).all()
+
+
+def test_many_lines_with_one_passage():
+    """Lines that share a passage and are otherwise unlike: all pairs are compared, in a time that whole distances one by one would not keep to."""
+    import time
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = " ".join(word() for _ in range(25))
+    lines = [" ".join([*(word() for _ in range(rng.randint(20, 40))), passage, *(word() for _ in range(20))]) for _ in range(300)]
+    i, j = np.triu_indices(len(lines), 1)
+    began = time.thread_time()
+    found = edits.Lines(lines).alike(i, j, 0.8)
+    banded = time.thread_time() - began
+    began = time.thread_time()
+    some = np.arange(0, len(i), 50)
+    expected = edits.alike_many([(lines[x], lines[y]) for x, y in zip(i[some], j[some], strict=True)], 0.8)
+    assert (found[some] == expected).all()
+    assert banded < 0.6 * 50 * (time.thread_time() - began)
+
+
+def test_batches_of_texts_are_bounded(monkeypatch):
+    monkeypatch.setattr(meeting, "MOST_TEXT", 1000)
+    batches = [pa.RecordBatch.from_pydict({"key": [k // 2 for k in range(low, low + 10)], "text": ["x" * 100] * 10}) for low in range(0, 100, 10)]
+    found = list(meeting.shared_keys(iter(batches), float("inf"), 1 << 16, "text"))
+    assert [rows.num_rows for rows, _ in found] == [8, *[10] * 9, 2]
+    assert len(list(meeting.shared_keys(iter(batches), float("inf"), 1 << 16))) == 1
+
+
+def test_pairs_come_together():
+    pairs = [(np.arange(k), np.arange(k) + 1) for k in (3, 4, 5)]
+    found = list(meeting.together(iter(pairs), lambda i, j: i > 0, 4))
+    assert [x.tolist() for x, _ in found] == [[1, 2, 1, 2, 3], [1, 2, 3, 4]]
+    assert list(meeting.together(iter([]), lambda i, j: i > 0)) == []
