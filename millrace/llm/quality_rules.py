@@ -69,11 +69,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
     told = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
     grams = bind(words(F.col("text")), lambda w: n_grams(w, buckets))
     each = told.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(grams).alias("bucket"))
-    found = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()
+    found = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).toArrow()  # rows would be large in the driver
     raw, target = [1] * buckets, [0] * buckets
-    for row in found:
-        raw[row.bucket] += row.raw
-        target[row.bucket] = row.target
+    for bucket, n, of_target in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        raw[bucket] += n
+        target[bucket] = of_target
     all_raw, all_target = sum(raw), sum(target)
     shares = [n / all_raw for n in raw]
     return [math.log((t + prior * p) / (all_target + prior) / p) for t, p in zip(target, shares, strict=True)]

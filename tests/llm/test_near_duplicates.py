@@ -379,3 +379,18 @@ def test_pairs_come_together():
     found = list(meeting.together(iter(pairs), lambda i, j: i > 0, 4))
     assert [x.tolist() for x, _ in found] == [[1, 2, 1, 2, 3], [1, 2, 3, 4]]
     assert list(meeting.together(iter([]), lambda i, j: i > 0)) == []
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_of_few_and_many_links(spark, few):
+    """Chains, stars and rings, with the rounds of many links and in the one task of few."""
+    rng = random.Random(2)
+    chain = list(range(100))
+    rng.shuffle(chain)
+    links = [*zip(chain, chain[1:], strict=False), *((-500, k) for k in range(-499, -400)), *((2000 + k, 2000 + (k + 1) % 40) for k in range(40)), (-(1 << 63), (1 << 63) - 1)]
+    rng.shuffle(links)
+    began = spark.sparkContext.statusTracker().getJobIdsForGroup() if few else []
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long"), few=few).collect()}
+    assert found == roots({n for x in links for n in x}, links)
+    assert not few or len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(began) < 12
+    assert connected_components(spark.createDataFrame([(None, 1), (2, 2)], "a long, b long"), few=few).count() == 0
