@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from millrace.llm import bits, edits, line_dedup, meeting, similar, simhash
+from millrace.llm.common import trim_native
 from millrace.llm.components import connected_components
 
 
@@ -394,3 +395,15 @@ def test_components_of_few_and_many_links(spark, few):
     assert found == roots({n for x in links for n in x}, links)
     assert not few or len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(began) < 12
     assert connected_components(spark.createDataFrame([(None, 1), (2, 2)], "a long, b long"), few=few).count() == 0
+
+
+def test_documents_are_kept_by_one_join(spark):
+    rows = [(k, " ".join(f"w{(k // 2) * 100 + x}" for x in range(30))) for k in range(8)]
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6]
+
+
+def test_freed_native_memory_goes_back(spark):
+    told = trim_native(spark)
+    assert told is None or "rim native heap" in told
