@@ -367,6 +367,53 @@ def test_many_lines_with_one_passage():
     assert banded < 0.6 * 50 * (time.thread_time() - began)
 
 
+@pytest.mark.parametrize("letters", ["ab c", "abcdefghij klmno", "aé\u4e00\U0001f600 b"])
+def test_counts_rule_out_no_like_lines(letters, monkeypatch):
+    monkeypatch.setattr(edits, "COUNTED", 4096)
+    rng = random.Random(len(letters))
+    lines = ["", "", "a", "b", "a" * 700, "a" * 600 + "b" * 100, "a" * 350 + "b" * 350]
+    for size in (1, 2, 9, 40, 200, 900):
+        line = "".join(rng.choice(letters) for _ in range(size))
+        lines += [line, *(changed(rng, line, letters) for _ in range(6)), "".join(rng.choice(letters) for _ in range(size))]
+    i, j = np.triu_indices(len(lines), 1)
+    expected = np.array([edits.alike(lines[x], lines[y], 0.8) for x, y in zip(i, j, strict=True)])
+    found = edits.Lines(lines)
+    some = rng.sample(range(len(i)), 40)  # the counters of a few lines first, which do not lie next to each other
+    assert (found.counts_allow(i[some], j[some], 0.8) | ~expected[some]).all()
+    assert (found.counts_allow(i, j, 0.8) | ~expected).all()
+    assert (found.counts_allow(i, j, 0.8) == edits.Lines(lines).counts_allow(i, j, 0.8)).all()
+    assert (found.alike(i, j, 0.8) == expected).all()
+
+
+def test_counts_spare_most_comparisons(monkeypatch):
+    """Lines that meet under a common passage of 9 characters and are else unlike do not come to be compared."""
+    rng = random.Random(5)
+    lines = ["common ab" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(30)] + ["common ab" + "z" * 60, "common ab" + "z" * 59 + "y"]
+    n, compared = len(lines), []
+    whole = edits.Lines.alike
+    monkeypatch.setattr(edits.Lines, "alike", lambda self, i, j, *rest: compared.append(len(i)) or whole(self, i, j, *rest))
+
+    class Rows:
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        distinct = lambda self: self
+
+    monkeypatch.setattr(line_dedup, "by_key", lambda rows: rows)
+    columns = {"id": list(range(n)), "key": [7] * n, "fp": [0] * n, "keys": [[7]] * n, "text": lines}
+    links = [tuple(r.values()) for b in line_dedup.verified_links(Rows(), 24, 0.8).run(iter([pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
+    assert [sorted(x) for x in links] == [[n - 2, n - 1]]
+    assert 1 <= sum(compared) <= 20  # of 496 pairs
+
+
+def test_lines_of():
+    spaces = {chr(c) for c in range(0x110000) if chr(c).isspace()} - {" ", "\n"}
+    assert set(line_dedup._UNEVEN) == spaces | {"  "}
+    for text in ("", "\n \n", " A b \nC  d\n", "ΟΔΟΣ\nΣ x", "İ I\r\nq", *(f"a{x}B\n {x}c" for x in sorted(spaces))):
+        assert line_dedup.lines_of(text) == [line_dedup.normalised(x) for x in text.split("\n")]
+
+
 def test_batches_of_texts_are_bounded(monkeypatch):
     monkeypatch.setattr(meeting, "MOST_TEXT", 1000)
     batches = [pa.RecordBatch.from_pydict({"key": [k // 2 for k in range(low, low + 10)], "text": ["x" * 100] * 10}) for low in range(0, 100, 10)]
