@@ -14,13 +14,13 @@ from .common import checkpoint
 
 #: Numbers in the sample that the index is fitted on, at most (every vector is indexed), and vectors of the sample to a centroid at least.
 SAMPLE_NUMBERS, SAMPLE_A_LIST = 1 << 23, 32
-#: Lists beyond which they are fitted in two levels, and vectors of the sample that codebooks and recall are fitted on at most.
+#: Lists beyond which they are fitted in two levels, and vectors of the sample that codebooks are fitted on at most.
 FLAT, CODED = 512, 1 << 14
 #: Subspaces of the quantiser, and its codes to a subspace at most.
 SUBSPACES, CODES = 16, 256
-#: Share of the neighbours that lie in the lists a query reads, as measured on the sample, and the sample's queries for that.
+#: Share of the neighbours that lie in the lists a query reads, as measured against all vectors, and the queries for that.
 RECALL, TRIALS = 0.97, 256
-#: Candidates of a list that are reranked for each neighbour asked for.
+#: Candidates of a list that are compared exactly at first for each neighbour asked for; all that may be better follow.
 RERANK = 3
 #: Vectors of a list that are searched by one task at once; longer lists are split.
 LIST_ROWS = 8192
@@ -88,32 +88,37 @@ class Index:
         """The lists whose centres have the largest inner products with each query."""
         return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :n]
 
-    def probes_for(self, sample: np.ndarray, k: int, recall: float, seed: int) -> int:
-        """How many lists hold ``recall`` of the ``k`` neighbours of the sample's vectors within the sample.
-
-        Vectors in clusters need few; those without structure need most, whatever the lists. A corpus larger than
-        the sample has nearer neighbours, which lie in fewer.
-        """
-        sample = sample[:CODED]
-        chosen = np.random.default_rng(seed).permutation(len(sample))[:TRIALS]
-        q = sample[chosen]
-        products = q @ sample.T
-        products[np.arange(len(q)), chosen] = -np.inf
-        k = min(k, len(sample) - 1)
-        if k < 1:
+    def probes_for(self, q: np.ndarray, trial: np.ndarray, lists: np.ndarray, recall: float) -> int:
+        """How many lists a query has to read so that ``recall`` of the neighbours lie in them; ``trial`` and ``lists``: for each of the true neighbours of
+        the queries ``q`` the query's place and the list that holds it."""
+        if not len(trial):
             return len(self.centres)
-        near = np.argpartition(-products, k - 1, axis=1)[:, :k]
         place = np.argsort(self.probes(q, len(self.centres)), axis=1)
-        at = np.sort(np.take_along_axis(place, _nearest(sample, self.centres)[near], 1).ravel())
+        at = np.sort(place[trial, lists])
         return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1
 
-    def search(self, q: np.ndarray, x: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int, rerank: int):
-        """For each query the places of the best ``k`` of a list's ``x`` and their inner products: by tables of the query's products with
-        each code (the centre adds the same to all), then exactly among the best ``k * rerank``; ties to smaller ids."""
-        tables = [q[:, a:b] @ book.T for a, b, book in zip(self.edges, self.edges[1:], self.books, strict=False)]
-        rough = sum(t[:, codes[:, j]] for j, t in enumerate(tables))
+    def search(self, q: np.ndarray, x: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int, rerank: int, centre: np.ndarray):
+        """For each query the places of the best ``k`` of a list's ``x`` and their inner products; ties to smaller ids. The tables of the query's products
+        with each code tell every product but for an error, at most the query's length times that of what the codes leave of the vector. Of the ``k * rerank``
+        first by table the ``k``-th product is a bound, and all vectors that may reach it are compared exactly, so that codes too coarse for a list lose nothing."""
+        parts = list(zip(self.edges, self.edges[1:], self.books, strict=False))
+        rough = sum((q[:, a:b] @ book.T)[:, codes[:, j]] for j, (a, b, book) in enumerate(parts)) + (q @ centre)[:, None]
         n = min(k * rerank, len(x))
-        near = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(x) else np.broadcast_to(np.arange(len(x)), rough.shape)
+        if n < len(x):
+            near = np.argpartition(-rough, n - 1, axis=1)[:, :n]
+            first = (x[near] * q[:, None, :]).sum(axis=2)
+            bound = -np.partition(-first, k - 1, axis=1)[:, k - 1]
+            left = x - centre - np.concatenate([book[codes[:, j]] for j, (*_, book) in enumerate(parts)], axis=1)
+            lengths = np.linalg.norm(q, axis=1)
+            # rounding of sums is far below this share of the lengths
+            slack = np.linalg.norm(left, axis=1) + 1e-12 * (np.linalg.norm(x, axis=1) + np.linalg.norm(centre))
+            chosen = np.flatnonzero((rough + lengths[:, None] * slack >= bound[:, None]).any(axis=0))
+            products = q @ x[chosen].T
+            last = -np.partition(-products, k - 1, axis=1)[:, k - 1] - 1e-12 * lengths * np.linalg.norm(x, axis=1).max()
+            n = int((products >= last[:, None]).sum(axis=1).max())
+            near = chosen[np.argpartition(-products, n - 1, axis=1)[:, :n]] if n < len(chosen) else np.broadcast_to(chosen, products.shape)
+        else:
+            near = np.broadcast_to(np.arange(len(x)), rough.shape)
         exact = (x[near] * q[:, None, :]).sum(axis=2)
         best = np.lexsort((ids[near], -exact), axis=1)[:, :k]
         return np.take_along_axis(near, best, 1), np.take_along_axis(exact, best, 1)
@@ -145,7 +150,8 @@ def neighbours(
     result. The index is fitted on at most ``SAMPLE_NUMBERS`` numbers of different vectors (or ``CODED`` vectors), in an order of hashes, and holds all. Lists grow as the root of the number of vectors
     until the sample bounds them, many in two levels; a list of over ``LIST_ROWS`` vectors is split, each part searched by a task of its own, and so are the
     queries of a list that over ``QUERY_ROWS`` read. A query reads
-    its best lists, as many as hold ``recall`` of the neighbours on the sample, and more until they hold ``k + 1`` vectors; products by table choose candidates, and these
+    its best lists, as many as hold ``recall`` of the true neighbours of ``TRIALS`` of the queries among all vectors, and more until they hold ``k + 1`` vectors; products by table choose
+    candidates, as many as may be among the best given what the codes leave of each vector, and these
     are reranked by the original vectors, which lie with the codes, so that only ``k + 1`` rows a list leave a task.
 
     Vectors that are null, zero, hold null or non-finite components, or are of another length than most, take no part, nor do rows with
@@ -173,7 +179,6 @@ def neighbours(
     sample = _matrix(nodes.orderBy(F.xxhash64("v", F.lit(seed))).limit(most).select("v").toArrow().column("v"), dims)
     index = Index.fit(sample, lists, seed)
     lists = len(index.centres)
-    probes = index.probes_for(sample, k, recall, seed)
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +196,33 @@ def neighbours(
     split = F.element_at(F.array(*(F.lit(int(max(1, p))) for p in parts)), F.col("list") + 1)
     indexed = indexed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), split).cast("int"))
 
+    asking = told.where("asks").select("v", F.col("vec_id").alias("query_id")).distinct()
+    asking = checkpoint(asking.join(nodes.select("node", "v"), "v").select("query_id", "node"))
+    queries = asking.select("node").distinct().join(nodes, "node").select("node", "v")
+    some = queries.orderBy(F.xxhash64("node", F.lit(seed + 2))).limit(TRIALS).toArrow()
+    trials, own = _matrix(some.column("v"), dims), some.column("node").to_numpy()
+
+    def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ``k`` vectors of a partition nearest to each of the ``trials`` but itself, and the lists they are in."""
+        scores, held_by = np.empty((len(own), 0)), np.empty((len(own), 0), np.int32)
+        for whole in batches:
+            for low in range(0, whole.num_rows, 4096):
+                batch = whole.slice(low, 4096)
+                products = trials @ _matrix(batch.column("v"), dims).T
+                products[own[:, None] == batch.column("node").to_numpy()] = -np.inf
+                scores = np.concatenate([scores, products], axis=1)
+                held_by = np.concatenate([held_by, np.broadcast_to(batch.column("list").to_numpy(), products.shape)], axis=1)
+                if scores.shape[1] > k:
+                    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                    scores, held_by = np.take_along_axis(scores, best, 1), np.take_along_axis(held_by, best, 1)
+        q, at = np.nonzero(scores > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(scores[q, at]), pa.array(held_by[q, at])], names=["q", "score", "list"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"))
+    nearest = indexed.select("list", "node", "v").mapInArrow(true, "q long, score double, list int").withColumn("at", F.row_number().over(order))
+    nearest = nearest.where(F.col("at") <= k).select("q", "list").toArrow()
+    probes = index.probes_for(trials, nearest.column("q").to_numpy(), nearest.column("list").to_numpy(), recall)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each part of each list that a query reads: its first ``probes``, and on until they hold ``k + 1`` vectors."""
         for whole in batches:
@@ -206,9 +238,6 @@ def neighbours(
                 columns = [pa.array(read.astype(np.int32)), pa.array(part.astype(np.int32)), batch.column("node").take(pa.array(row)), batch.column("v").take(pa.array(row))]
                 yield pa.RecordBatch.from_arrays(columns, names=["list", "part", "node", "v"])
 
-    asking = told.where("asks").select("v", F.col("vec_id").alias("query_id")).distinct()
-    asking = checkpoint(asking.join(nodes.select("node", "v"), "v").select("query_id", "node"))
-    queries = asking.select("node").distinct().join(nodes, "node").select("node", "v")
     dealt = checkpoint(queries.mapInArrow(deal, f"list int, part int, node long, v {kind}"))
     readers = {r.list: r["count"] for r in dealt.where("part = 0").groupBy("list").count().collect()}
     shares = F.element_at(F.array(*(F.lit(max(1, -(-readers.get(j, 0) // QUERY_ROWS))) for j in range(lists))), F.col("list") + 1)
@@ -221,10 +250,11 @@ def neighbours(
             return pa.table({"q": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         nodes_here, lows = right.column("node").to_numpy(), right.column("low").to_numpy()
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
+        centre = shared.value.centres[right.column("list")[0].as_py()]
         q, names = _matrix(left.column("v"), dims), left.column("node").to_numpy()
         found, scores = [], []
         for at in range(0, len(q), 64):
-            near, exact = shared.value.search(q[at : at + 64], x, codes, lows, k + 1, rerank)
+            near, exact = shared.value.search(q[at : at + 64], x, codes, lows, k + 1, rerank, centre)
             found.append(near.ravel())
             scores.append(exact.ravel())
         near = np.concatenate(found)

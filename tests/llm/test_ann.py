@@ -60,6 +60,27 @@ def test_recall(spark, flat, monkeypatch):
     assert hits / (150 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["codes", "queries"])
+def test_recall_where_codes_are_coarse_or_queries_unlike_the_rest(spark, kind, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(6000, 32))
+    if kind == "codes":
+        monkeypatch.setattr(ann, "CODES", 2)
+    else:
+        like = rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] + 0.1 * v
+        v[np.arange(6000) % 20 > 0] = like[np.arange(6000) % 20 > 0]
+    v = v.astype(np.float32)
+    found = {}
+    for r in ann.neighbours(frame(spark, [(i, x.tolist()) for i, x in enumerate(v)]), F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    w, hits = v.astype(float), 0
+    for q in range(0, 6000, 20):
+        s = w @ w[q]
+        s[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (300 * 20) >= 0.94
+
+
 @pytest.mark.parametrize("rows", [[], [(0, None)], [(0, [1.0] * 8)], [(0, [1.0] * 8), (1, [2.0] * 8)]])
 def test_small(spark, rows):
     found = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.neighbours(frame(spark, rows), F.col("vec_id") % 20 == 0).collect()]
