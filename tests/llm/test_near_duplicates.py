@@ -454,3 +454,10 @@ def test_documents_are_kept_by_one_join(spark):
 def test_freed_native_memory_goes_back(spark):
     told = trim_native(spark)
     assert told is None or "rim native heap" in told
+
+
+def test_components_end_in_one_task_after_some_rounds(spark):
+    """A chain, which rounds alone shorten by a share each, a star and a pair."""
+    links = [(i, i + 1) for i in range(3000)] + [(5000, 5000 + i) for i in range(1, 2000)] + [(9000, 9001)]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long"), max_rounds=4, few=900).collect()}
+    assert found == {**dict.fromkeys(range(3001), 0), **dict.fromkeys(range(5000, 7000), 5000), 9000: 9000, 9001: 9000}
